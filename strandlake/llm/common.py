@@ -58,7 +58,7 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, size: str = "32m") -> None:
+def arrow_batches(spark: SparkSession, size: str = "6m") -> None:
     """Bounds Arrow batches by bytes, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
