@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm.bpe_codec import op5_bpe
 from strandlake.llm.curve_packing import op7_packing
 from strandlake.llm.merge_index import OP8_SQL, op8_dedup
+from strandlake.llm.ngram_join import op6_ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op7_packing": op7_packing, "op8_dedup": op8_dedup}
+    return {"op5_bpe": op5_bpe, "op6_ngram_join": op6_ngram_join, "op7_packing": op7_packing, "op8_dedup": op8_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
