@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.llm.ball_tree import OP3_SQL, op3_topk
 from strandlake.llm.bpe_codec import op5_bpe
 from strandlake.llm.curve_packing import op7_packing
 from strandlake.llm.merge_index import OP8_SQL, op8_dedup
 from strandlake.llm.ngram_join import op6_ngram_join
+from strandlake.llm.ngram_trie import op10_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op6_ngram_join": op6_ngram_join, "op7_packing": op7_packing, "op8_dedup": op8_dedup}
+    return {"op3_topk": op3_topk, "op10_lm": op10_lm, "op5_bpe": op5_bpe, "op6_ngram_join": op6_ngram_join, "op7_packing": op7_packing, "op8_dedup": op8_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_dedup": OP8_SQL}
+    return {"op3_topk": OP3_SQL, "op8_dedup": OP8_SQL}
