@@ -152,6 +152,7 @@ def shared_prefixes(prefix: DataFrame) -> DataFrame:
 def choose_boundary(sets: DataFrame) -> int:
     """The size up to which subsets are listed: where listing below and scanning above cost least in sum.
 
+    A list of df sets costs each of them its row and, as hubs halve what is left to compare, log2 df.
     sets: n, subsets, scanned. Sizes fall into eighths of powers of two, so the histogram is bounded.
     """
     bins = sets.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.max("n").alias("top"), F.sum("subsets").cast("double").alias("s"), F.sum("scanned").cast("double").alias("l")).orderBy("bin").collect()
@@ -170,7 +171,7 @@ def meetings(shared: DataFrame) -> DataFrame:
     sets = sets.where(F.size("rare") >= F.col("c")).select("node", "n", F.expr("slice(rare, 1, size(rare) - c + 1)").alias("one"), F.expr("slice(rare, 1, least(size(rare), size(rare) - c + 2))").alias("two"))
     sets = stage(sets, "op6-rare")
     m = F.size("two").cast("long")
-    costs = sets.where(F.col("n") >= PAIRED).select("n", (m * (m - 1) / 2).alias("subsets"), F.expr("aggregate(one, 0L, (t, x) -> t + x.df)").alias("scanned"))
+    costs = sets.where(F.col("n") >= PAIRED).select("n", (m * (m - 1) / 2).alias("subsets"), F.expr("aggregate(one, 0D, (t, x) -> t + 1 + log2(x.df))").alias("scanned"))
     boundary = choose_boundary(costs)
     light = sets.where(F.col("n").between(PAIRED, boundary)).selectExpr("node", "n", "two", "explode(sequence(0, size(two) - 2)) as i", ).where("size(two) > 1")
     light = light.selectExpr("node", "n", "two[i].h as h", "explode(slice(two, i + 2, size(two))) as other").selectExpr("xxhash64('pair', h, other.h) as place", "node", "n")
@@ -187,11 +188,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def split_places(places: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The places where sets of different components meet, with root; before any link, those with two sets."""
-    held = places.withColumn("root", F.col("node")) if roots is None else places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = held.groupBy("place").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("place")
-    return held.join(mixed, "place", "left_semi")
+def mixed_places(places: DataFrame, turn: int) -> DataFrame:
+    """place, node, n, root, node2, n2, root2: the places where several components meet, each row with the place's hub.
+
+    The hub is the smallest set at first, later the least by a hash that changes with the turn.
+    """
+    order = [F.col("n")] if turn == 0 else [F.xxhash64(F.lit(turn), "node")]
+    hubs = places.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), "node", "n", "root")).alias("hub"))
+    hubs = hubs.where("low <> high").selectExpr("place", "hub.node as node2", "hub.n as n2", "hub.root as root2")
+    return places.join(hubs, "place")
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -209,18 +214,22 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     sets = whole_sets(texts).join(owners.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = stage(sets, "op6-sets")
     similar_size = f"{percent} * greatest(n, n2) <= 100 * least(n, n2)"
-    found, roots = None, None
-    for k in range(HUB_ROUNDS):
-        held = split_places(places, roots)
-        hub = held.groupBy("place").agg(F.min(F.struct("n", "node", "root") if k == 0 else F.struct(F.xxhash64(F.lit(k), "node").alias("o"), "n", "node", "root")).alias("hub"))
-        pairs = held.join(hub.selectExpr("place", "hub.node as node2", "hub.n as n2", "hub.root as root2"), "place").where(f"root <> root2 and {similar_size}").selectExpr("least(node, node2) as a", "greatest(node, node2) as b").distinct()
-        new = stage(verified(pairs, sets, percent), "op6-links")
+    held, found = places.withColumn("root", F.col("node")), None
+    for k in range(HUB_ROUNDS + 1):
+        mixed = stage(mixed_places(held, k), "op6-mixed")
+        if k and mixed.isEmpty():
+            break
+        if k < HUB_ROUNDS:
+            pairs = mixed.where(f"root <> root2 and {similar_size}")
+        else:
+            other = mixed.selectExpr("place", "node as node2", "n as n2", "root as root2")
+            pairs = mixed.select("place", "node", "n", "root").join(other, "place").where(f"node < node2 and root <> root2 and {similar_size}")
+        new = stage(verified(pairs.selectExpr("least(node, node2) as a", "greatest(node, node2) as b").distinct(), sets, percent), "op6-links")
         found = new if found is None else found.unionByName(new)
-        roots = stage(connected_components(found), "op6-roots")
-    held = stage(split_places(places, roots), "op6-mixed")
-    other = held.selectExpr("place", "node as node2", "n as n2", "root as root2")
-    pairs = held.join(other, "place").where(f"node < node2 and root <> root2 and {similar_size}").selectExpr("node as a", "node2 as b").distinct()
-    return found.unionByName(stage(verified(pairs, sets, percent), "op6-links")), rows
+        if k < HUB_ROUNDS:
+            roots = stage(connected_components(found), "op6-roots")
+            held = mixed.select("place", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return found, rows
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
