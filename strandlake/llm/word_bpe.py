@@ -88,9 +88,9 @@ class WordBpe:
         self.merged = np.zeros(len(merges), dtype=np.int64)
         for rank, new in ranked.values():
             self.merged[rank] = new
-        self.most_known = 2_000_000
+        self.most_known = 400_000
         self.known = np.zeros(0, dtype=np.uint64)
-        self.known_start, self.known_count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.known_start, self.known_count = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
         self.known_ids = np.zeros(0, dtype=np.uint32)
         self.token_bytes = [self.tokens.get(i, "").encode() for i in range(self.size)]
         self.shown = np.frombuffer(b"".join(t + b" " for t in self.token_bytes), dtype=np.uint8)
@@ -231,8 +231,8 @@ class WordBpe:
             keys = np.concatenate([self.known, distinct[fresh]])
             order = np.argsort(keys, kind="stable")
             self.known, self.known_ids = keys[order], pool
-            self.known_start = np.concatenate([self.known_start, begin[fresh]])[order]
-            self.known_count = np.concatenate([self.known_count, new_count])[order]
+            self.known_start = np.concatenate([self.known_start, begin[fresh].astype(np.int32)])[order]
+            self.known_count = np.concatenate([self.known_count, new_count.astype(np.int32)])[order]
         return Encoded(ids, total[np.concatenate([[0], np.cumsum(per_text)])])
 
     def encode_batch(self, texts: list[str | None]) -> Encoded:
@@ -295,4 +295,6 @@ def byte_symbols() -> list[str]:
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
+    """The encoder of a file, once in each Python worker; Arrow gives freed memory back there."""
+    pa.set_memory_pool(pa.system_memory_pool())
     return WordBpe(path)
