@@ -220,8 +220,8 @@ class Words:
         """(number, count) of each hash; -1 and 0 where the training texts don't have it."""
         number, counts = np.full(len(w), -1, dtype=np.int64), np.zeros(len(w), dtype=np.int64)
         order = np.argsort(w)
-        cuts = np.searchsorted(w[order], self.first)
-        for k, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(w)], strict=True)):
+        cuts = [*np.searchsorted(w[order], self.first), len(w)]
+        for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
             some = order[a:z]
             some = some[w[some] <= self.files[k][1]]
             if len(some):
