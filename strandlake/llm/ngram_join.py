@@ -10,6 +10,10 @@ others, partners must share c shingles, an overlap join with known c, done by si
 * the boundary is the size at which listing subsets and scanning lists cost least in sum;
 * sets so small that they need share one shingle only use subsets of size one.
 
+Every set has a bitmap of parities: bit i tells whether an odd number of its shingles hashes to i. Two
+bitmaps differ in at most as many bits as the sets in shingles, so pairs whose bitmaps differ too much
+are told apart without their sets; all others are compared in full.
+
 Sets that meet are first compared with one hub of each meeting place, over a few rounds. What is then
 connected need not be compared again; all other meetings are compared in full. So components are
 exact, while a group of thousands of near copies is not expanded into all its pairs.
@@ -36,6 +40,9 @@ PAIRED = 22
 #: Rows up to which the surviving documents' identifiers are broadcast (some 16 MB); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 HUB_ROUNDS = 3
+#: Words of 64 bits in a set's bitmap.
+BITMAP = 16
+BITS = [f"b{i}" for i in range(BITMAP)]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -118,17 +125,31 @@ def sliced(batch: pa.RecordBatch, rows: int = 200_000) -> Iterator[pa.RecordBatc
         yield batch.slice(i, rows)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """The bitmap of a set, as signed words."""
+    odd = np.bincount((shingles >> np.uint64(20)) & np.uint64(64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """node, size and all shingles of each row."""
+    """node, size, all shingles and the bitmap of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column(0)))
             bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64)))], ["node", "n", "shingles"])
+            bits = np.array([parities(s) for s in sets], dtype=np.int64).reshape(len(sets), BITMAP)
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(bits[:, i]) for i in range(BITMAP))], ["node", "n", "shingles", *BITS])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, n int, shingles array<long>, " + ", ".join(f"{b} long" for b in BITS))
+
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, n int, shingles array<long>")
+def may_be_similar(percent: int = PERCENT) -> str:
+    """SQL over n, b0 .. and n2, b0_2 ..: whether the bitmaps allow the overlap that similar sets have."""
+    differ = " + ".join(f"bit_count({b} ^ {b}_2)" for b in BITS)
+    return f"{differ} <= n + n2 - 2 * (({percent} * (n + n2) + {99 + percent}) div {100 + percent})"
 
 
 def least_shared(n="n", percent: int = PERCENT):
@@ -181,10 +202,13 @@ def meetings(shared: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs a, b whose whole sets are similar."""
+    """The pairs a, b whose whole sets are similar; bitmaps first."""
+    first = sets.select(F.col("node").alias("a"), "n", *BITS)
+    second = sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), *(F.col(b).alias(f"{b}_2") for b in BITS))
+    near = pairs.join(first, "a").join(second, "b").where(may_be_similar(percent)).select("a", "b")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    both = near.join(left, "a").join(right, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
@@ -222,8 +246,9 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
         if k < HUB_ROUNDS:
             pairs = mixed.where(f"root <> root2 and {similar_size}")
         else:
-            other = mixed.selectExpr("place", "node as node2", "n as n2", "root as root2")
-            pairs = mixed.select("place", "node", "n", "root").join(other, "place").where(f"node < node2 and root <> root2 and {similar_size}")
+            drawn = stage(mixed.select("place", "node", "n", "root").join(sets.select("node", *BITS), "node"), "op6-drawn")
+            other = drawn.selectExpr("place", "node as node2", "n as n2", "root as root2", *(f"{b} as {b}_2" for b in BITS))
+            pairs = drawn.join(other, "place").where(f"node < node2 and root <> root2 and {similar_size} and {may_be_similar(percent)}")
         new = stage(verified(pairs.selectExpr("least(node, node2) as a", "greatest(node, node2) as b").distinct(), sets, percent), "op6-links")
         found = new if found is None else found.unionByName(new)
         if k < HUB_ROUNDS:
