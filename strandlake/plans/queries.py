@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
-from strandlake.operators import classify, clean, compact, graph, kmerset, spectrum
+from strandlake.operators import classify, clean, compact, correct, graph, kmerset, spectrum, supergraph, transcripts
+from strandlake.plans import assembly
+from strandlake.sources import reads as sources
+from strandlake.sources.staging import staged
+from strandlake.streaming.counts import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -374,6 +378,48 @@ def abundance(spark, sf):
     return spectrum.abundance(hits, genes.select(F.col("read_id").alias("gene"), F.length("seq").alias("length")), 10)
 
 
+@query()
+def edge_index(spark, sf):
+    return supergraph.edge_index(_graph(spark, sf, BENCH, 24))
+
+
+@query()
+def threaded_contigs(spark, sf):
+    reads = reads_of(spark, sf, *BENCH)
+    return supergraph.thread_reads(staged(graph.build(reads, 20), "graph"), reads, 20, least=1)
+
+
+@query()
+def fixed_reads(spark, sf):
+    return correct.fix_reads(reads_of(spark, sf, *BENCH), graph.trim(_graph(spark, sf, BENCH, 12), 1), 12, 2)
+
+
+@query()
+def transcripts_of_reads(spark, sf):
+    reads = reads_of(spark, sf, *BENCH)
+    return transcripts.assemble(staged(graph.build(reads, 15), "graph"), reads, 15, seed_coverage=1, least=1)
+
+
+@query()
+def assembled_contigs(spark, sf):
+    return assembly.assemble(reads_of(spark, sf, *BENCH), 25, cutoff=0, tips=1, min_length=100, min_links=1)
+
+
+@query(f"SELECT DISTINCT '\"' || left(edge, {K}) || '\" -> \"' || right(edge, {K}) || '\" [penwidth=1.000 label=\"' || count || '\"];' AS value FROM ({graph_sql(K, *BENCH)})")
+def dot_graph(spark, sf):
+    return sources.dot_text(_graph(spark, sf, BENCH), K)
+
+
+@query(f"SELECT edge || chr(9) || count AS value FROM ({graph_sql(K, *BENCH)})")
+def graph_dump(spark, sf):
+    return sources.graph_text(_graph(spark, sf, BENCH))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_events(spark, sf):
+    return windowed_counts(spark.read.parquet(f"{sf}/events.parquet"), "ts", "event_type")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all reads against two references, in per cent."""
     return read_class_summary(spark, sf_dir)

@@ -71,7 +71,7 @@ def parse_fastq(lines: Iterable[str]) -> Iterator[tuple[str, str, str, str]]:
 
 def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
     """Records with wrapped lines; each file is parsed in order as its lines stream through one task."""
-    spark_lines = spark.read.option("wholetext", "true").text(list(paths)).select(F.input_file_name().alias("file"), "value")
+    spark_lines = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def run(batches):
         import pandas as pd
