@@ -231,10 +231,10 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     places = stage(meetings(shared), "op6-places")
     wanted = places.select("node").distinct()
     owners = stage(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "op6-owners")
-    ids = owners.select("doc_id").distinct()
+    ids = owners.select(F.col("doc_id").alias("owner")).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
     sets = whole_sets(texts).join(owners.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = stage(sets, "op6-sets")
     similar_size = f"{percent} * greatest(n, n2) <= 100 * least(n, n2)"

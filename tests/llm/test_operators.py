@@ -171,9 +171,9 @@ def test_jaccard_join(spark, monkeypatch, rounds):
 
 
 def test_jaccard_join_at_its_edges(spark):
-    rows = [(1, words(1, 30)), (1, words(1, 30)), (2, words(1, 30)), (3, None), (4, None), (None, words(1, 30))]
+    rows = [(1, words(1, 30)), (1, words(1, 30)), (2, words(1, 30)), (3, None), (4, None), (None, words(1, 30)), (None, words(1, 30) + " more"), (5, words(1, 30) + " more and more")]
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.near_duplicates(documents(spark, rows)).collect())
-    assert got == [(-1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 4)]
+    assert got == [(-1, 1), (-1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 1)]
     assert ngram_join.near_duplicates(documents(spark, [])).count() == 0
 
 
