@@ -65,16 +65,17 @@ def link(messages: DataFrame) -> DataFrame:
 def roots(tree: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, thread, reply_depth: each message's first ancestor, by doubling the reply pointers.
 
-    A reply goes to an earlier turn, so rounds number the logarithm of the longest chain.
+    A reply goes to an earlier turn, so rounds number the logarithm of the longest chain; only messages
+    whose first ancestor isn't known yet take part in a round.
     """
-    state = stage(tree.select("conv_id", "turn", "reply_to", F.coalesce("reply_to", "turn").alias("thread"), F.col("reply_to").isNotNull().cast("long").alias("reply_depth")), "op2-roots")
-    while True:
-        ahead = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("beyond"), F.col("reply_depth").alias("more"))
-        moved = state.join(ahead, ["conv_id", "thread"], "left")
-        state = stage(moved.select("conv_id", "turn", "reply_to", F.coalesce("beyond", "thread").alias("thread"), (F.col("reply_depth") + F.coalesce("more", F.lit(0))).alias("reply_depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), "op2-roots")
-        if state.where("moved").isEmpty():
-            return state.drop("moved")
-        state = state.drop("moved")
+    columns = ["conv_id", "turn", "reply_to", "thread", "reply_depth", "open"]
+    began = F.col("reply_to").isNotNull()
+    state = stage(tree.select("conv_id", "turn", "reply_to", F.coalesce("reply_to", "turn").alias("thread"), began.cast("long").alias("reply_depth"), began.alias("open")), "op2-roots")
+    while not state.where("open").isEmpty():
+        ahead = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("beyond"), F.col("reply_depth").alias("more"), F.col("open").alias("beyond_open"))
+        moved = state.where("open").drop("open").join(ahead, ["conv_id", "thread"]).select("conv_id", "turn", "reply_to", F.col("beyond").alias("thread"), (F.col("reply_depth") + F.col("more")).alias("reply_depth"), F.col("beyond_open").alias("open"))
+        state = stage(state.where("not open").select(columns).unionByName(moved.select(columns)), "op2-roots")
+    return state.drop("open")
 
 
 def in_reply_order(linked: DataFrame) -> DataFrame:
