@@ -39,7 +39,8 @@ WORDS, PERCENT = 5, 75
 PAIRED = 22
 #: Rows up to which the surviving documents' identifiers are broadcast (some 16 MB); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
-HUB_ROUNDS = 3
+#: Rounds of comparing with hubs before all that is left, and hubs of a place from the second round on.
+HUB_ROUNDS, HUBS = 3, 8
 #: Words of 64 bits in a set's bitmap.
 BITMAP = 16
 BITS = [f"b{i}" for i in range(BITMAP)]
@@ -212,17 +213,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def mixed_places(places: DataFrame, turn: int) -> DataFrame:
-    """place, node, n, root, node2, n2, root2: the places where several components meet, each row with the place's hub.
-
-    The hub is the smallest set at first, later the least by a hash that changes with the turn.
-    """
-    order = [F.col("n")] if turn == 0 else [F.xxhash64(F.lit(turn), "node")]
-    hubs = places.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), "node", "n", "root")).alias("hub"))
+def mixed_places(places: DataFrame) -> DataFrame:
+    """place, node, n, root, node2, n2, root2: the places where several components meet, each row with the place's smallest set."""
+    hubs = places.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("n", "node", "root")).alias("hub"))
     hubs = hubs.where("low <> high").selectExpr("place", "hub.node as node2", "hub.n as n2", "hub.root as root2")
     return places.join(hubs, "place")
 
 
+def strays(mixed: DataFrame, turn: int) -> DataFrame:
+    """node, n, node2, n2: sets outside the component with most rows of a place, with some hubs of that component, other ones each turn."""
+    counts = mixed.groupBy("place", "root").agg(F.count("*").alias("rows"))
+    main = counts.groupBy("place").agg(F.max(F.struct("rows", "root")).alias("m")).selectExpr("place", "m.root as main")
+    told = mixed.select("place", "node", "n", "root").join(main, "place")
+    each = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + i), "node"), "node", "n")) for i in range(HUBS)]
+    hubs = told.where("root = main").groupBy("place").agg(F.array_distinct(F.array(*[F.struct(h["node"].alias("node"), h["n"].alias("n")) for h in each])).alias("hubs"))
+    return told.where("root <> main").join(hubs, "place").select("node", "n", F.explode("hubs").alias("h")).selectExpr("node", "n", "h.node as node2", "h.n as n2")
+
+
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(links a, b between nodes; described rows). The links' components are those of all similar pairs."""
     arrow_batches(docs.sparkSession)
@@ -240,11 +247,13 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     similar_size = f"{percent} * greatest(n, n2) <= 100 * least(n, n2)"
     held, found = places.withColumn("root", F.col("node")), None
     for k in range(HUB_ROUNDS + 1):
-        mixed = stage(mixed_places(held, k), "op6-mixed")
+        mixed = stage(mixed_places(held), "op6-mixed")
         if k and mixed.isEmpty():
             break
-        if k < HUB_ROUNDS:
+        if k == 0 and HUB_ROUNDS:
             pairs = mixed.where(f"root <> root2 and {similar_size}")
+        elif k < HUB_ROUNDS:
+            pairs = strays(mixed, k).where(similar_size)
         else:
             drawn = stage(mixed.select("place", "node", "n", "root").join(sets.select("node", *BITS), "node"), "op6-drawn")
             other = drawn.selectExpr("place", "node as node2", "n as n2", "root as root2", *(f"{b} as {b}_2" for b in BITS))
