@@ -167,9 +167,13 @@ def classify(docs: DataFrame, model: RuleModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with all columns."""
-    held = with_statistics(docs.select(F.struct(*docs.columns).alias("__row"), "text"), "__row")
-    return held.where(model.score() >= CUT).select("__row.*")
+    """The rows of docs that the classifier doesn't reject, with all columns.
+
+    The row number keeps the filter above the statistics: pushed below, it would compute each of them
+    again in every rule that names it.
+    """
+    held = with_statistics(docs.select(F.struct(*docs.columns).alias("__row"), "text"), "__row").withColumn("__at", F.monotonically_increasing_id())
+    return held.where((model.score() >= CUT) & (F.col("__at") >= 0)).select("__row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
