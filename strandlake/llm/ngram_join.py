@@ -35,8 +35,6 @@ from strandlake.llm.word_bpe import split_chunks
 
 #: Fixed by the contract: words in a shingle, least similarity in per cent.
 WORDS, PERCENT = 5, 75
-#: From this size on, two similar sets share two shingles of their prefixes; sets below 4/3 of it also meet in single ones.
-PAIRED = 22
 #: Rows up to which the surviving documents' identifiers are broadcast (some 16 MB); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 #: Rounds of comparing with hubs before all that is left, and hubs of a place from the second round on.
@@ -58,7 +56,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     factor = np.uint64(0x9E3779B97F4A7C15)
 
     def chained(h: np.ndarray, n: int) -> np.ndarray:
-        out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
+        if len(h) < n:
+            return np.zeros(0, dtype=np.uint64)
+        out = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for k in range(n):
             out = (out ^ (out >> np.uint64(31))) * factor + h[k : len(h) - n + 1 + k]
         out ^= out >> np.uint64(32)
@@ -89,6 +89,11 @@ def extra(n: int) -> int:
     return max(1, n // 8)
 
 
+def paired(percent: int = PERCENT) -> int:
+    """From this size on, two similar sets share two shingles of their prefixes; sets below 100 / percent times it also meet in single ones."""
+    return 1600 // percent + 1
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and node of every row."""
 
@@ -158,20 +163,20 @@ def least_shared(n="n", percent: int = PERCENT):
     return F.greatest(F.lit(1), F.floor(F.ceil(F.col(n) * percent / 100) / 8)).cast("int")
 
 
-def shared_prefixes(prefix: DataFrame) -> DataFrame:
+def shared_prefixes(prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
     """h, node, n, df: the prefix shingles that more than one set has, of sets that have c of them; twice, as sets that leave make others' shingles unique."""
     rows = prefix.repartition("h").groupBy("h", "node").agg(F.first("n").alias("n"))
     rows = rows.withColumn("df", F.expr("count(*) over (partition by h)")).where("df > 1")
     rows = stage(rows, "op6-shared")
     for _ in range(2):
-        enough = rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_shared()).select("node")
+        enough = rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_shared(percent=percent)).select("node")
         left = rows.select("h", "node", "n").join(enough, "node", "left_semi")
         counts = left.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
         rows = stage(left.join(counts, "h").select("h", "node", "n", "df"), "op6-shared")
     return rows
 
 
-def choose_boundary(sets: DataFrame) -> int:
+def choose_boundary(sets: DataFrame, percent: int = PERCENT) -> int:
     """The size up to which subsets are listed: where listing below and scanning above cost least in sum.
 
     A list of df sets costs each of them its row and, as hubs halve what is left to compare, log2 df.
@@ -180,25 +185,25 @@ def choose_boundary(sets: DataFrame) -> int:
     bins = sets.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.max("n").alias("top"), F.sum("subsets").cast("double").alias("s"), F.sum("scanned").cast("double").alias("l")).orderBy("bin").collect()
     best, at = sum(b.l for b in bins), 0
     for i, b in enumerate(bins):
-        cost = sum(x.s for x in bins[: i + 1]) + sum(x.l for x in bins if 4 * x.top > 3 * b.top)
+        cost = sum(x.s for x in bins[: i + 1]) + sum(x.l for x in bins if 100 * x.top > percent * b.top)
         if cost < best:
             best, at = cost, b.top
     return at
 
 
-def meetings(shared: DataFrame) -> DataFrame:
+def meetings(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """place, node, n: where sets meet. Two similar sets have a place in common."""
-    c = least_shared()
+    c, least = least_shared(percent=percent), paired(percent)
     sets = shared.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("rare")).withColumn("c", c)
     sets = sets.where(F.size("rare") >= F.col("c")).select("node", "n", F.expr("slice(rare, 1, size(rare) - c + 1)").alias("one"), F.expr("slice(rare, 1, least(size(rare), size(rare) - c + 2))").alias("two"))
     sets = stage(sets, "op6-rare")
     m = F.size("two").cast("long")
-    costs = sets.where(F.col("n") >= PAIRED).select("n", (m * (m - 1) / 2).alias("subsets"), F.expr("aggregate(one, 0D, (t, x) -> t + 1 + log2(x.df))").alias("scanned"))
-    boundary = choose_boundary(costs)
-    light = sets.where(F.col("n").between(PAIRED, boundary)).selectExpr("node", "n", "two", "explode(sequence(0, size(two) - 2)) as i", ).where("size(two) > 1")
+    costs = sets.where(F.col("n") >= least).select("n", (m * (m - 1) / 2).alias("subsets"), F.expr("aggregate(one, 0D, (t, x) -> t + 1 + log2(x.df))").alias("scanned"))
+    boundary = choose_boundary(costs, percent)
+    light = sets.where(F.col("n").between(least, boundary)).selectExpr("node", "n", "two", "explode(sequence(0, size(two) - 2)) as i", ).where("size(two) > 1")
     light = light.selectExpr("node", "n", "two[i].h as h", "explode(slice(two, i + 2, size(two))) as other").selectExpr("xxhash64('pair', h, other.h) as place", "node", "n")
-    heavy = sets.where(4 * F.col("n") > 3 * F.lit(max(boundary, PAIRED - 1))).selectExpr("node", "n", "explode(one) as x").selectExpr("xxhash64('list', x.h) as place", "node", "n")
-    tiny = sets.where(3 * F.col("n") < 4 * PAIRED).selectExpr("node", "n", "explode(one) as x").selectExpr("xxhash64('one', x.h) as place", "node", "n")
+    heavy = sets.where(100 * F.col("n") > percent * F.lit(max(boundary, least - 1))).selectExpr("node", "n", "explode(one) as x").selectExpr("xxhash64('list', x.h) as place", "node", "n")
+    tiny = sets.where(percent * F.col("n") < 100 * least).selectExpr("node", "n", "explode(one) as x").selectExpr("xxhash64('one', x.h) as place", "node", "n")
     return light.unionByName(heavy).unionByName(tiny)
 
 
@@ -234,8 +239,8 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     """(links a, b between nodes; described rows). The links' components are those of all similar pairs."""
     arrow_batches(docs.sparkSession)
     rows = stage(describe(docs), "op6-rows")
-    shared = shared_prefixes(prefixes(docs, percent))
-    places = stage(meetings(shared), "op6-places")
+    shared = shared_prefixes(prefixes(docs, percent), percent)
+    places = stage(meetings(shared, percent), "op6-places")
     wanted = places.select("node").distinct()
     owners = stage(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "op6-owners")
     ids = owners.select(F.col("doc_id").alias("owner")).distinct()

@@ -177,6 +177,20 @@ def test_jaccard_join_at_its_edges(spark):
     assert ngram_join.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a b c", "one", "one two", "a b c d", "a b c d e"])
+def test_jaccard_join_of_one_short_text(spark, text):
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(documents(spark, [(1, text)])).collect()] == [(1, 1, 1)]
+
+
+def test_jaccard_join_below_the_default_share(spark):
+    long = [words(300 + i, 34) for i in range(6)]
+    rows = [(2 * i, t) for i, t in enumerate(long)] + [(2 * i + 1, " ".join(t.split()[:19])) for i, t in enumerate(long)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [tokens(t)]]
+    assert all(2 * len(a & b) >= len(a | b) for a, b in zip(sets[:6], sets[6:]))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(documents(spark, rows), 50).collect()}
+    assert got == {i: i // 2 * 2 for i in range(12)}
+
+
 def test_connected_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rnd.randrange(40), 100 + rnd.randrange(40)) for _ in range(25)] + [(5, 5), (300, 301), (301, 300)]
