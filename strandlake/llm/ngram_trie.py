@@ -4,9 +4,10 @@ Level 1 holds the words of the training texts in the order of their 64-bit hashe
 Level 2 holds, for each context word, the words that follow it. Words are numbers (ranks in level 1).
 As in every Elias-Fano trie, the children of context i become one monotone sequence by adding
 i * V to each; monotone pointers say where a context's children begin, and a query is a successor
-search among the children of its context. Probabilities are absolute-discounting ones, quantised to
-16 bits on a logarithmic scale. The levels lie in the shared folder in files of consecutive ranges,
-which scoring tasks map into memory and read where needed.
+search among the children of its context. Probabilities are absolute-discounting ones with one
+discount for the corpus, quantised to 16 bits on a logarithmic scale. The levels lie in the shared folder in
+files of consecutive ranges, which scoring tasks map into memory and read where needed. Level 2 is cut by
+distinct pairs, so a frequent context lies in several files.
 """
 
 from __future__ import annotations
@@ -21,22 +22,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import arrow_batches, local_path, new_path, stage, table
-from strandlake.llm.ngram_join import LOWER
+from strandlake.llm.ngram_join import LOWER, sliced
 from strandlake.llm.word_bpe import split_chunks
 
 #: The end of a text, also the context of its first word.
 END = np.uint64(0x8F3A61D2C47B905E)
-#: Pairs that a task counts before it hands them on, and pairs (with repeats) of one file of level 2.
+#: Pairs that a task counts before it hands them on, and distinct pairs of one file of level 2.
 BUFFER, SHARD_PAIRS = 2**21, 2**21
 #: log10 of the least probability that quantisation tells from zero, and the steps from there to 1.
 LEAST_LOG, STEPS = 9.0, 65_535
-META = "first long, last long, n long, total long, n1 long, n2 long, head string"
+META = "first long, last long, n long, total long, head string"
+#: Of a file of level 2 also the children that its first and last context have in it, and how often these contexts occur in all.
+PAIR_META = META + ", first_n long, first_total long, last_n long, last_total long"
 
 
 # ---- Elias-Fano sequences
@@ -197,14 +199,14 @@ def write_words(words: DataFrame, folder: str) -> list:
             order = (w - w[0]).view(np.uint64)
             arrays = {f"w_{k}": v for k, v in elias_fano(order, int(order[-1]) + 1).items()} | {"c": c}
             head = write_arrays(f"{folder}/words-{TaskContext.get().partitionId():06d}", arrays)
-            yield meta(w[0], w[-1], len(w), c.sum(), 0, 0, head)
+            yield meta(META, w[0], w[-1], len(w), c.sum(), head)
 
     return words.repartitionByRange("w").sortWithinPartitions("w").mapInArrow(run, META).orderBy("first").collect()
 
 
-def meta(*values) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([v if k == pa.string() else int(v)], k) for v, k in zip(values, kinds, strict=True)], ["first", "last", "n", "total", "n1", "n2", "head"])
+def meta(schema: str, *values) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.string()) if k == "string" else pa.array([int(v)], pa.int64()) for v, k in zip(values, kinds, strict=True)], list(names))
 
 
 class Words:
@@ -225,35 +227,27 @@ class Words:
             some = order[a:z]
             some = some[w[some] <= self.files[k][1]]
             if len(some):
-                arrays = map_arrays(self.files[k][6])
+                arrays = map_arrays(self.files[k][4])
                 at, found = part(arrays, "w_").successor((w[some] - self.first[k]).view(np.uint64))
                 number[some[found]] = self.base[k] + at[found]
                 counts[some[found]] = arrays["c"][at[found]]
         return number, counts
 
-
-# ---- pairs
-
-
-def squeeze(x: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
+    def counts(self, low: int, high: int) -> np.ndarray:
+        """How often the words of the numbers low .. high - 1 occur."""
+        spans = [(max(low, a) - a, min(high, z) - a, f) for f, a, z in zip(self.files, self.base[:-1].tolist(), self.base[1:].tolist(), strict=True) if a < high and low < z]
+        return np.concatenate([map_arrays(f[4])["c"][a:z] for a, z, f in spans])
 
 
-def expand(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+# ---- pairs
 
 
-def count_pairs(docs: DataFrame, files: list[tuple], shards: int) -> DataFrame:
-    """shard, keys, counts: sorted distinct context * V + word with counts, a task's share for each range of contexts."""
+def count_pairs(docs: DataFrame, files: list[tuple]) -> DataFrame:
+    """key, c: context * V + word of each distinct pair and how often it occurs; a task combines what it holds before the shuffle, which deals by pair."""
 
-    def flush(held: list, size: int) -> Iterator[pa.RecordBatch]:
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        cuts = np.searchsorted(keys, np.array([-(-s * size // shards) * size for s in range(shards)] + [2**63 - 1], dtype=np.int64))
-        rows = [(s, keys[a:z], counts[a:z]) for s, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([squeeze(np.diff(r[1], prepend=0)) for r in rows], pa.binary()), pa.array([squeeze(r[2].astype(np.uint32)) for r in rows], pa.binary())], ["shard", "keys", "counts"])
+        yield from sliced(pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "c"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, n_held = Words(files), [], 0
@@ -267,41 +261,44 @@ def count_pairs(docs: DataFrame, files: list[tuple], shards: int) -> DataFrame:
             held.append(context[keep] * words.size + number[keep])
             n_held += len(held[-1])
             if n_held >= BUFFER:
-                yield from flush(held, words.size)
+                yield from flush(held)
                 held, n_held = [], 0
         if n_held:
-            yield from flush(held, words.size)
-
-    return docs.mapInArrow(run, "shard int, keys binary, counts binary")
-
-
-def write_pairs(pairs: DataFrame, folder: str, vocabulary: int, shards: int) -> list:
-    """Level 2: one file for each range of contexts."""
-
-    def run(key, batch):
-        shard = key[0].as_py()
-        keys = np.concatenate([np.cumsum(expand(x, "<i8")) for x in batch["keys"].to_pylist()])
-        counts = np.concatenate([expand(x, "<u4") for x in batch["counts"].to_pylist()]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        counts = np.add.reduceat(counts, np.flatnonzero(new))
-        keys = keys[new]
-        low, high = -(-shard * vocabulary // shards), -(-(shard + 1) * vocabulary // shards)
-        context = keys // vocabulary
-        pointers = np.searchsorted(context, np.arange(low, high + 1))
-        n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-        children = np.diff(pointers)
-        total = np.diff(np.concatenate([[0], np.cumsum(counts)])[pointers])
-        seen = quantise((counts - discount) / total[context - low])
-        left = quantise(discount * children / np.maximum(total, 1))
-        arrays = {f"k_{k}": v for k, v in elias_fano((keys - low * vocabulary).view(np.uint64), (high - low) * vocabulary).items()}
-        arrays |= {f"p_{k}": v for k, v in elias_fano(pointers.astype(np.uint64), len(keys) + 1).items()}
-        head = write_arrays(f"{folder}/pairs-{shard:06d}", arrays | {"seen": seen, "left": left})
-        return pa.Table.from_batches([meta(low, high, len(keys), counts.sum(), n1, n2, head)])
-
-    return pairs.groupBy("shard").applyInArrow(run, META).orderBy("first").collect()
+            yield from flush(held)
+
+    return docs.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def write_pairs(pairs: DataFrame, folder: str, files: list[tuple]) -> tuple[list, dict[int, float]]:
+    """(level 2: one file for each range of pairs; the mass that contexts in several files leave to the lower order)."""
+    told = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    discount = min(0.95, max(0.1, told.n1 / (told.n1 + 2 * told.n2))) if told.n1 else 0.5
+    shards = max(1, -(-told.n // SHARD_PAIRS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]
+        if whole:
+            t, words = pa.Table.from_batches(whole), Words(files)
+            keys, counts = t["key"].to_numpy(), t["c"].to_numpy()
+            context = keys // words.size
+            low, high = int(context[0]), int(context[-1]) + 1
+            pointers = np.searchsorted(context, np.arange(low, high + 1))
+            # every occurrence of a word is the context of one pair, as each text's end is the next one's start
+            children, total = np.diff(pointers), words.counts(low, high)
+            seen = quantise((counts - discount) / total[context - low])
+            left = quantise(discount * children / total)
+            arrays = {f"k_{k}": v for k, v in elias_fano((keys - low * words.size).view(np.uint64), (high - low) * words.size).items()}
+            arrays |= {f"p_{k}": v for k, v in elias_fano(pointers.astype(np.uint64), len(keys) + 1).items()}
+            head = write_arrays(f"{folder}/pairs-{TaskContext.get().partitionId():06d}", arrays | {"seen": seen, "left": left})
+            yield meta(PAIR_META, low, high, len(keys), counts.sum(), head, children[0], total[0], children[-1], total[-1])
+
+    held = [tuple(r) for r in pairs.repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(run, PAIR_META).collect()]
+    ends: dict[int, list] = {}
+    for first, last, _, _, head, first_n, first_total, last_n, last_total in held:
+        for c, n, total in {(first, first_n, first_total), (last - 1, last_n, last_total)}:
+            ends.setdefault(c, []).append((n, total))
+    split = {c: float(SCALE[quantise(np.array([discount * sum(n for n, _ in x) / x[0][1]]))[0]]) for c, x in sorted(ends.items()) if len(x) > 1}
+    return sorted(held), split
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -313,25 +310,30 @@ def quantise(p: np.ndarray) -> np.ndarray:
 SCALE = np.concatenate([[0.0], 10 ** (np.arange(STEPS) / (STEPS - 1) * LEAST_LOG - LEAST_LOG)])
 
 
-def pair_parts(files: list[tuple], keys: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of the pair where seen, mass left to the lower order) of sorted distinct context * V + word."""
+def pair_parts(files: list[tuple], split: tuple[np.ndarray, np.ndarray], keys: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of the pair where seen, mass left to the lower order) of sorted distinct context * V + word; split: contexts in several files, their mass."""
     seen, left = np.zeros(len(keys)), np.ones(len(keys))
     context, word = keys // vocabulary, keys % vocabulary
     cuts = np.searchsorted(context, [x for f in files for x in (f[0], f[1])]).reshape(-1, 2) if files else []
     for f, (a, z) in zip(files, cuts, strict=True):
         if a == z:
             continue
-        arrays = map_arrays(f[6])
+        arrays = map_arrays(f[4])
         own = context[a:z] - f[0]
         pointers = part(arrays, "p_")
         first, last = pointers.at(own).astype(np.int64), pointers.at(own + 1).astype(np.int64)
         at, found = part(arrays, "k_").successor((own * vocabulary + word[a:z]).view(np.uint64), first, last)
-        seen[a:z] = np.where(found, SCALE[arrays["seen"][np.where(found, at, 0)]], 0)
-        left[a:z] = np.where(last > first, SCALE[arrays["left"][own]], 1)
+        seen[a:z] = np.where(found, SCALE[arrays["seen"][np.where(found, at, 0)]], seen[a:z])
+        left[a:z] = np.where(last > first, SCALE[arrays["left"][own]], left[a:z])
+    if len(split[0]):
+        at = np.minimum(np.searchsorted(split[0], context), len(split[0]) - 1)
+        left = np.where(split[0][at] == context, split[1][at], left)
     return seen, left
 
 
-def score(docs: DataFrame, word_files: list[tuple], pair_files: list[tuple]) -> DataFrame:
+def score(docs: DataFrame, word_files: list[tuple], pair_files: list[tuple], split: dict[int, float]) -> DataFrame:
+    apart = np.array(list(split), dtype=np.int64), np.array(list(split.values()), dtype=np.float64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(word_files)
         v, n_train = words.size, words.total
@@ -348,7 +350,7 @@ def score(docs: DataFrame, word_files: list[tuple], pair_files: list[tuple]) ->
             keys = context[known] * (v + 1) + np.where(number[known] >= 0, number[known], v)
             order, distinct_keys = pd.factorize(keys, sort=True)
             c, w = distinct_keys // (v + 1), distinct_keys % (v + 1)
-            seen, left = pair_parts(pair_files, c * v + np.minimum(w, v - 1), v)
+            seen, left = pair_parts(pair_files, apart, c * v + np.minimum(w, v - 1), v)
             seen = np.where(w < v, seen, 0.0)
             p[known] = seen[order] + left[order] * p[known]
             starts = np.cumsum(n) - n
@@ -375,12 +377,8 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     if folder is None:
         raise ValueError("the n-gram trie is mapped into memory: spark.checkpoint.dir must be on a mounted file system")
     words = [tuple(r) for r in write_words(stage(count_words(docs), "op10-words"), folder)]
-    vocabulary, total = sum(r[2] for r in words), sum(r[3] for r in words)
-    pairs: list[tuple] = []
-    if vocabulary:
-        shards = min(vocabulary, max(1, -(-total // SHARD_PAIRS)))
-        pairs = [tuple(r) for r in write_pairs(count_pairs(docs, words, shards), folder, vocabulary, shards)]
-    return score(docs, words, pairs)
+    pairs, split = write_pairs(stage(count_pairs(docs, words), "op10-pairs"), folder, words) if words else ([], {})
+    return score(docs, words, pairs, split)
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

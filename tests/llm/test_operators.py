@@ -262,6 +262,14 @@ def test_language_model(spark):
     assert (only.train_tokens, only.n_known, only.base_score) == (0, 0, 0.0)
 
 
+def test_language_model_over_many_files(spark, monkeypatch):
+    monkeypatch.setattr(ngram_trie, "SHARD_PAIRS", 40)
+    rows = list(enumerate(texts()[:12])) + [(100 + i, " ".join(f"hot {w}" for w in words(i, 40).split())) for i in range(6)]
+    got = sorted((r.doc_id, r.score) for r in ngram_trie.train_and_score(documents(spark, rows)).collect())
+    for (i, s), want in zip(got, sorted(model_by_force(rows)), strict=True):
+        assert i == want[0] and s == pytest.approx(want[5], abs=3e-4 * want[1] + 1e-9)
+
+
 @pytest.mark.parametrize("n,universe", [(0, 10), (1, 1), (50, 60), (1000, 2**40), (300, 2**63)])
 def test_elias_fano(n, universe):
     rnd = np.random.default_rng(n)
