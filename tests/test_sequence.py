@@ -243,6 +243,13 @@ def test_threading_and_scaffolds(spark):
     assert sorted(r.seq for r in supergraph.scaffold(paths, links, 3).collect()) == ["ACGTNNNGGGG", "TTTT"]
 
 
+def test_walks_that_begin_with_a_short_step(spark):
+    rows = [("l", "o", "A", 5), ("r", "G", "z", 5), ("q", "A", "X", 10), ("s", "X", "G", 50)] + [(f"p{i:02}", "A", "X", 50 + i) for i in range(12)]
+    paths = spark.createDataFrame(rows, "path string, start string, end string, length long")
+    links = spark.createDataFrame([("l", "r", 60.0)], "lhs string, rhs string, gap double")
+    assert [(r.via, r.found) for r in supergraph.connecting(links, paths).collect()] == [(["q", "s"], 60)]
+
+
 def test_mixture_fit():
     rnd = np.random.default_rng(17)
     draws = np.concatenate([rnd.poisson(1.0, 60_000), np.round(rnd.normal(40, 6, 40_000)).astype(int)])
