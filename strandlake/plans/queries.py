@@ -391,7 +391,7 @@ def threaded_contigs(spark, sf):
 
 @query()
 def fixed_reads(spark, sf):
-    return correct.fix_reads(reads_of(spark, sf, *BENCH), graph.trim(_graph(spark, sf, BENCH, 12), 1), 12, 2)
+    return correct.fix_reads(reads_of(spark, sf, *BENCH), graph.trim(_graph(spark, sf, BENCH, 12), 1), 12)
 
 
 @query()

@@ -228,6 +228,13 @@ def test_fixing_reads(spark):
     assert got == {0: (genome, 1), 1: (genome, 0), 2: (dna(62, 30).lower(), 0)}
 
 
+def test_fixing_reads_with_many_errors(spark):
+    genome = dna(63, 400)
+    wrong = "".join(rc(x) if i in {3, 40, 60, 66, 130, 200, 290, 397} else x for i, x in enumerate(genome))
+    g = graph.build(table(spark, genome), 13)
+    assert {r.read_id: (r.seq, r.n_fixed) for r in correct.fix_reads(table(spark, wrong, genome[:9]), g, 13).collect()} == {0: (genome, 8), 1: (genome[:9].lower(), 0)}
+
+
 def test_threading_and_scaffolds(spark):
     a, b, c, d, mid = (dna(70 + i, 120) for i in range(5))
     mid = mid[:30]
