@@ -385,8 +385,8 @@ def edge_index(spark, sf):
 
 @query()
 def threaded_contigs(spark, sf):
-    reads = reads_of(spark, sf, *BENCH)
-    return supergraph.thread_reads(staged(graph.build(reads, 20), "graph"), reads, 20, least=1)
+    reads = reads_of(spark, sf)
+    return supergraph.thread_reads(staged(graph.build(reads, 20), "graph"), reads, 20)
 
 
 @query()
