@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.seq import kmers, reverse_complement
+from strandlake.operators.components import tied
 from strandlake.operators.graph import degrees, with_nodes
 from strandlake.sources.staging import staged
 
@@ -87,33 +88,13 @@ def contigs(edges: DataFrame, k: int, min_length: int = 0, min_coverage: int = 0
 
 
 def components(edges: DataFrame, reads: DataFrame | None = None, k: int | None = None, seq: str = "seq") -> DataFrame:
-    """node, component: the least node that edges lead to in either direction; restricted to edges of the reads if given.
-
-    Large-star and small-star steps by turns: every node's neighbours are tied to its least one, so even
-    long paths collapse in a number of rounds that is logarithmic in practice.
-    """
+    """node, component: the least node that edges lead to in either direction; restricted to edges of the reads if given."""
     if reads is not None:
         hit = kmers(reads, k + 1, seq).select(F.explode(F.array("kmer", reverse_complement("kmer"))).alias("edge")).distinct()
         edges = edges.join(hit, "edge", "left_semi")
     held = with_nodes(edges).select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
     nodes = held.select(F.col("a").alias("node")).unionByName(held.select(F.col("b").alias("node"))).distinct()
-    return nodes.join(_tied(held).select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
-
-
-def _tied(pairs: DataFrame) -> DataFrame:
-    """a, b: b is the least member of a's component, for all members but the least. pairs: a, b with a >= b."""
-    ties, before = staged(pairs.where("a <> b").distinct(), "ties"), None
-    while True:
-        both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        ties = staged(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ties")
-        now = tuple(ties.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return ties
-        before = now
+    return nodes.join(tied(held).select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def component_stats(edges: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.seq import entropy0
-from strandlake.operators.compact import _tied, segments
+from strandlake.operators.compact import segments
+from strandlake.operators.components import tied
 from strandlake.operators.supergraph import align_reads, best_links, edge_index, read_links, superpaths, thread
 from strandlake.sources.staging import staged
 
@@ -28,7 +29,7 @@ def assemble(edges: DataFrame, reads: DataFrame, k: int, min_length: int = 0, se
     near = best_links(welds, least).join(paths.select(F.col("path").alias("lhs"), F.col("end").alias("e")), "lhs").join(paths.select(F.col("path").alias("rhs"), F.col("start").alias("s")), "rhs")
     joins = near.select("lhs", "rhs", "gap", F.when(F.col("e") == F.col("s"), F.expr("cast(array() as array<string>)")).alias("via"))
     made = staged(thread(paths, joins, k), "transcripts")
-    tied = _tied(welds.select(F.greatest("lhs", "rhs").alias("a"), F.least("lhs", "rhs").alias("b")))
+    welded = tied(welds.select(F.greatest("lhs", "rhs").alias("a"), F.least("lhs", "rhs").alias("b")))
     from strandlake.operators.supergraph import chain
 
     place = chain(joins.select("lhs", "rhs"))
@@ -39,6 +40,6 @@ def assemble(edges: DataFrame, reads: DataFrame, k: int, min_length: int = 0, se
     many = mapped.groupBy("read_id").agg(F.count("*").alias("m"))
     counts = mapped.join(many, "read_id").groupBy("transcript").agg(F.sum(1 / F.col("m")).alias("reads"))
     total = max(1, many.count())
-    out = made.withColumnRenamed("contig", "transcript").where(F.col("length") >= min_length).join(counts, "transcript", "left").join(tied.select(F.col("a").alias("transcript"), F.col("b").alias("component")), "transcript", "left")
+    out = made.withColumnRenamed("contig", "transcript").where(F.col("length") >= min_length).join(counts, "transcript", "left").join(welded.select(F.col("a").alias("transcript"), F.col("b").alias("component")), "transcript", "left")
     reads_ = F.coalesce("reads", F.lit(0.0))
     return out.select("transcript", F.coalesce("component", "transcript").alias("component"), "seq", "length", "n_paths", reads_.alias("reads"), (reads_ * 1e9 / (F.col("length") * F.lit(total))).alias("fpkm"))
