@@ -1,10 +1,10 @@
 """Operator 8: exact deduplication with a log-structured merge index of digests, DataFrame operations only.
 
-Rows fall into memtables by arrival; each memtable flushes one run, sorted by digest, with a Bloom
-filter and the least and greatest digest of every row group in the Parquet file. Compaction merges a
-few runs into one and keeps the smallest identifier and the number of rows of each digest, until one
-run is left. A row whose digest is found there under another row's identifier is a hit, and its bytes
-are compared with those of the row that stays before it counts as a copy.
+Rows fall into memtables as a scan task meets them; each memtable flushes one run, sorted by digest.
+Compaction merges some runs into one and keeps the smallest identifier and the number of rows of each
+digest, until one run is left. A Bloom filter over the digests that were merged from several rows is
+probed by every row before anything moves: rows that it rules out are alone with their text, and only
+the bytes of the others, the hits, are verified.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import SPACES, new_path, stage, table, text_or_empty
+from strandlake.llm.common import SPACES, join_hot, probable, stage, table, text_or_empty
+from strandlake.sources.staging import free, freed_shuffles
 
-#: Rows of a memtable, and runs that one compaction merges.
+#: Rows of a memtable, and runs at least that one compaction merges.
 MEMTABLE_ROWS, FAN_IN = 2_000_000, 8
 
 
@@ -22,47 +23,45 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), SPACES, " ")
 
 
-def flush(df: DataFrame, level: int) -> DataFrame:
-    """Writes the runs of one level, each sorted by digest, with filters, and reads them back."""
-    spark = df.sparkSession
-    path = new_path(spark, f"op8-level{level}")
-    (
-        df.repartitionByRange("run", "digest")
-        .sortWithinPartitions("run", "digest")
-        .write.option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.expected.ndv#digest", "100000")
-        .option("compression", "zstd")
-        .parquet(path)
-    )
-    return spark.read.schema(df.schema).parquet(path)
+def digest_of(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
 
+def flush(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+    """doc_id, digest, rid, part, chunk of every row: the sorted runs, one for each memtable of each scan task. Nothing is shuffled."""
+    rid = F.monotonically_increasing_id()
+    rows = docs.select("doc_id", digest_of(normalised()).alias("digest"), rid.alias("rid"))
+    rows = rows.withColumn("part", F.shiftright("rid", 33)).withColumn("chunk", F.expr(f"(rid & ((1L << 33) - 1)) div {memtable_rows}"))
+    return stage(rows.sortWithinPartitions("chunk", "digest"), "op8-runs")
 
-def merge_index(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """digest, keeper (struct of null flag, doc_id, rid) and group_size: the run that is left after compaction.
 
-    rows: rid long, doc_id long, digest binary. Counts and minima combine before each shuffle, so a
-    digest that a third of all rows share reaches a task as one row for each task before.
+def merge_index(runs: DataFrame, fan_in: int = FAN_IN) -> tuple[DataFrame, int]:
+    """(digest, keeper (struct of null flag, doc_id, rid), group_size: the run that is left after compaction; the number of rows).
+
+    So many runs are merged at once that two compactions are enough, fan_in at least. Counts and minima
+    combine before each shuffle, so a digest that a third of all rows share reaches a task as one row for
+    each task before. A run's files are dealt by digest and each is sorted by it.
     """
+    told = runs.agg(F.count("*").alias("n"), F.max("part").alias("part"), F.max("chunk").alias("chunk")).first()
     keeper = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid")
-    runs = max(1, -(-rows.count() // memtable_rows))
-    arrived = rows.withColumn("run", (F.crc32(F.col("rid").cast("string").cast("binary")) % runs).cast("int"))
-    level = 0
-    held = flush(arrived.groupBy("run", "digest").agg(F.min(keeper).alias("keeper"), F.count("*").alias("group_size")), level)
-    while runs > 1:
-        level, runs = level + 1, -(-runs // fan_in)
-        merged = held.withColumn("run", F.expr(f"run div {fan_in}").cast("int")).groupBy("run", "digest")
-        held = flush(merged.agg(F.min("keeper").alias("keeper"), F.sum("group_size").alias("group_size")), level)
-    return held.drop("run")
-
-
-def unequal_hits(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """Texts that share a digest with the row that stays but not its bytes: digest, norm."""
-    shared = index.where("group_size > 1").select("digest", F.col("keeper.doc_id").alias("keep_id"))
-    texts = docs.select("doc_id", normalised().alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    held = texts.join(shared, "digest")
-    keepers = held.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    hits = held.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", "norm")
-    return hits.join(keepers, "digest").where(F.col("norm") != F.col("kept_norm")).select("digest", "norm")
+    left = ((told.chunk or 0) + 1) * ((told.part or 0) + 1)
+    fan_in = max(fan_in, int(left**0.5) + 1)
+    held = runs.select((F.col("chunk") * F.lit((told.part or 0) + 1) + F.col("part")).alias("run"), "digest", keeper.alias("keeper"), F.lit(1).cast("long").alias("group_size"))
+    before = None
+    while before is None or left > 1:
+        left = -(-left // fan_in)
+        merged = held.withColumn("run", F.expr(f"run div {fan_in}")).groupBy("run", "digest")
+        held = stage(merged.agg(F.min("keeper").alias("keeper"), F.sum("group_size").alias("group_size")).sortWithinPartitions("run", "digest"), "op8-merged")
+        free(before)
+        before = held
+    return held, told.n
+
+
+def unequal_hits(docs: DataFrame, hit) -> DataFrame:
+    """digest of hits whose texts are not all the same bytes: a digest's least and greatest text, combined before the shuffle, differ."""
+    texts = docs.select(normalised().alias("norm")).select("norm", digest_of(F.col("norm")).alias("digest")).where(hit(F.col("digest")))
+    ends = texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("z"))
+    return ends.where("a <> z").select("digest")
 
 
 def deduplicate(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
@@ -73,23 +72,29 @@ def deduplicate(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, fan_in: int
     repeated rows with that doc_id exactly one is kept. An empty table gives no rows. Should two
     different texts ever share a digest, that digest's rows are grouped by their bytes instead.
     """
-    light = docs.select("doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest")).withColumn("rid", F.monotonically_increasing_id())
-    light = stage(light, "op8-digests")
-    index = merge_index(light, memtable_rows, fan_in)
-    bad = stage(unequal_hits(docs, index), "op8-unequal")
-    if not bad.isEmpty():
-        odd = bad.select("digest").distinct()
-        texts = docs.select("doc_id", normalised().alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-        return by_digest(light.join(odd, "digest", "left_anti"), index).unionByName(by_text(texts.join(odd, "digest", "left_semi")))
-    return by_digest(light, index)
-
-
-def by_digest(light: DataFrame, index: DataFrame) -> DataFrame:
-    return light.join(index, "digest").select(
+    with freed_shuffles(docs.sparkSession):
+        runs = flush(docs, memtable_rows)
+        index, total = merge_index(runs, fan_in)
+        copies = stage(index.where("group_size > 1").select("digest", "keeper", "group_size"), "op8-copies")
+        free(index)
+        hit = probable(copies.select("digest"), copies.count())
+        odd = stage(unequal_hits(docs, hit), "op8-unequal")
+        if odd.isEmpty():
+            return by_digest(runs, copies, hit, total)
+        texts = docs.select("doc_id", normalised().alias("norm")).withColumn("digest", digest_of(F.col("norm")))
+        return by_digest(runs.join(odd, "digest", "left_anti"), copies, hit, total).unionByName(by_text(texts.join(odd, "digest", "left_semi")))
+
+
+def by_digest(runs: DataFrame, copies: DataFrame, hit, total: int) -> DataFrame:
+    """The result by digests alone: rows that the filter rules out are alone, the others meet the index, frequent digests by broadcast."""
+    alone = runs.where(~hit(F.col("digest"))).withColumn("keeper", F.lit(None).cast(copies.schema["keeper"].dataType)).withColumn("group_size", F.lit(None).cast("long"))
+    found = join_hot(runs.where(hit(F.col("digest"))), copies, "digest", "group_size", total, "left")
+    single = F.col("group_size").isNull()
+    return alone.unionByName(found).select(
         "doc_id",
-        F.col("keeper.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("rid") == F.col("keeper.rid")).alias("kept"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (single | (F.col("rid") == F.col("keeper.rid"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -110,14 +115,24 @@ def by_text(texts: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows repeated with doc_id and text, one stays."""
-    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    own = docs.withColumn("__digest", F.unhex(F.sha2(normalised(), 256))).withColumn("__copy", F.monotonically_increasing_id())
-    held = own.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (own["__digest"] == kept["__digest"]), "left_semi")
-    repeated = own.groupBy("doc_id", "__digest").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return held.select(docs.columns)
-    return held.dropDuplicates(["doc_id", "__digest"]).select(docs.columns)
+    """The rows of docs that stay, with all their columns. Of rows repeated with doc_id and text one stays, the first by its columns as JSON.
+
+    Rows whose doc_id no dropped row has stay where they are. The others are told apart by doc_id and
+    digest. Nulls, empty tables and other columns are treated as deduplicate() says.
+    """
+    told = deduplicate(docs)
+    gone = stage(told.where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest")).distinct(), "op8-gone")
+    stays = told.where("kept and group_size > 1").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    twice = stage(stays.join(gone.toDF("id", "d"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left_semi"), "op8-twice")
+    ids = gone.select("doc_id")
+    maybe = probable(ids, ids.count())(F.col("doc_id"))
+    some = docs.where(maybe).select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest_of(normalised()).alias("d"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("d") == F.col("digest"))
+    held = docs.where(~maybe).unionByName(some.join(gone, same, "left_anti").select("row.*"))
+    if twice.isEmpty():
+        return held
+    again = some.join(twice, same, "left_semi").groupBy("id", "d").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return held.unionByName(again.select("row.*"))
 
 
 def op8_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import arrow_batches, stage, table
-from strandlake.llm.components import connected_components
+from strandlake.llm.common import HOT, arrow_batches, join_hot, stage, table, without
 from strandlake.llm.word_bpe import split_chunks
+from strandlake.operators.components import connected_components
+from strandlake.sources.staging import free, freed_shuffles
 
 #: Fixed by the contract: words in a shingle, least similarity in per cent.
 WORDS, PERCENT = 5, 75
@@ -39,6 +40,8 @@ WORDS, PERCENT = 5, 75
 BROADCAST_ROWS = 500_000
 #: Rounds of comparing with hubs before all that is left, and hubs of a place from the second round on.
 HUB_ROUNDS, HUBS = 3, 8
+#: A shingle with no more rows is no hot key, however small the table.
+FEW = 1_000
 #: Words of 64 bits in a set's bitmap.
 BITMAP = 16
 BITS = [f"b{i}" for i in range(BITMAP)]
@@ -163,16 +166,35 @@ def least_shared(n="n", percent: int = PERCENT):
     return F.greatest(F.lit(1), F.floor(F.ceil(F.col(n) * percent / 100) / 8)).cast("int")
 
 
+def frequent(prefix: DataFrame) -> list[int]:
+    """All shingles with more than one in HOT of the rows, and few others: a sketch of bounded size finds them."""
+    told = prefix.agg(F.expr(f"approx_top_k(h, {2 * HOT}, {4 * HOT})").alias("top"), F.count("*").alias("n")).first()
+    return [x.item for x in told.top or [] if x["count"] > max(FEW, told.n / HOT)]
+
+
 def shared_prefixes(prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """h, node, n, df: the prefix shingles that more than one set has, of sets that have c of them; twice, as sets that leave make others' shingles unique."""
-    rows = prefix.repartition("h").groupBy("h", "node").agg(F.first("n").alias("n"))
+    """h, node, n, df: the prefix shingles that more than one set has, of sets that have c of them; twice, as sets that leave make others' shingles unique.
+
+    Shingles are dealt by themselves and counted where they lie; the sets of frequent ones, a bounded list, are
+    spread over all tasks instead, and their counts are broadcast.
+    """
+    prefix = stage(prefix, "op6-prefixes")
+    hot = frequent(prefix)
+    rows = prefix.where(~F.col("h").isin(hot)).repartition("h").groupBy("h", "node").agg(F.first("n").alias("n"))
     rows = rows.withColumn("df", F.expr("count(*) over (partition by h)")).where("df > 1")
-    rows = stage(rows, "op6-shared")
+    if hot:
+        spread = prefix.where(F.col("h").isin(hot)).groupBy("h", "node").agg(F.first("n").alias("n"))
+        counts = spread.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        rows = rows.unionByName(spread.join(F.broadcast(counts), "h"))  # a row for each frequent shingle
+    rows, before = stage(rows, "op6-shared"), prefix
     for _ in range(2):
         enough = rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_shared(percent=percent)).select("node")
-        left = rows.select("h", "node", "n").join(enough, "node", "left_semi")
-        counts = left.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        left = stage(rows.select("h", "node", "n").join(stage(enough, "op6-enough"), "node", "left_semi"), "op6-left")
+        counts = stage(left.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "op6-df")
+        free(before, rows)
         rows = stage(left.join(counts, "h").select("h", "node", "n", "df"), "op6-shared")
+        free(left, counts)
+        before = rows
     return rows
 
 
@@ -221,36 +243,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 def mixed_places(places: DataFrame) -> DataFrame:
     """place, node, n, root, node2, n2, root2: the places where several components meet, each row with the place's smallest set."""
     hubs = places.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("n", "node", "root")).alias("hub"))
-    hubs = hubs.where("low <> high").selectExpr("place", "hub.node as node2", "hub.n as n2", "hub.root as root2")
+    hubs = stage(hubs.where("low <> high").selectExpr("place", "hub.node as node2", "hub.n as n2", "hub.root as root2"), "op6-hubs")
     return places.join(hubs, "place")
 
 
 def strays(mixed: DataFrame, turn: int) -> DataFrame:
     """node, n, node2, n2: sets outside the component with most rows of a place, with some hubs of that component, other ones each turn."""
     counts = mixed.groupBy("place", "root").agg(F.count("*").alias("rows"))
-    main = counts.groupBy("place").agg(F.max(F.struct("rows", "root")).alias("m")).selectExpr("place", "m.root as main")
+    main = stage(counts.groupBy("place").agg(F.max(F.struct("rows", "root")).alias("m")).selectExpr("place", "m.root as main"), "op6-main")
     told = mixed.select("place", "node", "n", "root").join(main, "place")
     each = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + i), "node"), "node", "n")) for i in range(HUBS)]
-    hubs = told.where("root = main").groupBy("place").agg(F.array_distinct(F.array(*[F.struct(h["node"].alias("node"), h["n"].alias("n")) for h in each])).alias("hubs"))
+    hubs = stage(told.where("root = main").groupBy("place").agg(F.array_distinct(F.array(*[F.struct(h["node"].alias("node"), h["n"].alias("n")) for h in each])).alias("hubs")), "op6-hubs")
     return told.where("root <> main").join(hubs, "place").select("node", "n", F.explode("hubs").alias("h")).selectExpr("node", "n", "h.node as node2", "h.n as n2")
 
 
-def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(links a, b between nodes; described rows). The links' components are those of all similar pairs."""
+def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links a, b between nodes; node and root of the nodes that have some; described rows). The links' components are those of all similar pairs."""
     arrow_batches(docs.sparkSession)
     rows = stage(describe(docs), "op6-rows")
     shared = shared_prefixes(prefixes(docs, percent), percent)
     places = stage(meetings(shared, percent), "op6-places")
-    wanted = places.select("node").distinct()
-    owners = stage(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "op6-owners")
+    free(shared)
+    wanted = stage(places.select("node").distinct(), "op6-wanted")
+    owners = stage(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "op6-owners")
     ids = owners.select(F.col("doc_id").alias("owner")).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
-    sets = whole_sets(texts).join(owners.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = stage(sets, "op6-sets")
+    sets = stage(whole_sets(texts).join(owners.select("node"), "node", "left_semi").dropDuplicates(["node"]), "op6-sets")
+    free(wanted, owners)
     similar_size = f"{percent} * greatest(n, n2) <= 100 * least(n, n2)"
-    held, found = places.withColumn("root", F.col("node")), None
+    held, found, roots = places.withColumn("root", F.col("node")), None, None
     for k in range(HUB_ROUNDS + 1):
         mixed = stage(mixed_places(held), "op6-mixed")
         if k and mixed.isEmpty():
@@ -263,12 +286,18 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
             drawn = stage(mixed.select("place", "node", "n", "root").join(sets.select("node", *BITS), "node"), "op6-drawn")
             other = drawn.selectExpr("place", "node as node2", "n as n2", "root as root2", *(f"{b} as {b}_2" for b in BITS))
             pairs = drawn.join(other, "place").where(f"node < node2 and root <> root2 and {similar_size} and {may_be_similar(percent)}")
-        new = stage(verified(pairs.selectExpr("least(node, node2) as a", "greatest(node, node2) as b").distinct(), sets, percent), "op6-links")
+        pairs = stage(pairs.selectExpr("least(node, node2) as a", "greatest(node, node2) as b").distinct(), "op6-pairs")
+        new = stage(verified(pairs, sets, percent), "op6-links")
         found = new if found is None else found.unionByName(new)
+        free(pairs, roots, places)
+        roots = connected_components(found, "op6-roots")
+        old, held = mixed, mixed.select("place", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if k < HUB_ROUNDS:
-            roots = stage(connected_components(found), "op6-roots")
-            held = mixed.select("place", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return found, rows
+            held = stage(held, "op6-places")
+            free(old)
+            places = held
+    free(sets)
+    return found, roots, rows
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -278,19 +307,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets are linked, repeated rows too; a null doc_id is never the smallest unless all are null. An
     empty table gives no rows.
     """
-    found, rows = links(docs, percent)
-    roots = stage(connected_components(found, "op6-final"), "op6-roots")
-    filled = rows.where("n_shingles > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = filled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = filled.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    with freed_shuffles(docs.sparkSession):
+        _, roots, rows = links(docs, percent)
+        filled = stage(rows.where("n_shingles > 0").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "op6-filled")
+        least = stage(filled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")), "op6-least")
+        linked = join_hot(filled, least, "root", "size", filled.count()).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the smallest of their component, with all columns."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs whose doc_id is the smallest of a component, with all columns.
+
+    Rows that share a doc_id stay or go together: they go if one of them lies in a component with a
+    smaller doc_id. Nulls, empty texts and empty tables are treated as near_duplicates() says.
+    """
+    told = near_duplicates(docs)
+    gone = stage(told.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "op6-gone")
+    return without(docs, gone)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

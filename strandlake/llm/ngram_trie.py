@@ -26,9 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import arrow_batches, local_path, new_path, stage, table
+from strandlake.llm.common import arrow_batches, local_path, stage, table
 from strandlake.llm.ngram_join import LOWER, sliced
 from strandlake.llm.word_bpe import split_chunks
+from strandlake.sources.staging import new_path
 
 #: The end of a text, also the context of its first word.
 END = np.uint64(0x8F3A61D2C47B905E)

@@ -13,7 +13,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from strandlake.llm import ball_tree, bpe_codec, curve_packing, merge_index, merkle_audit, ngram_join, ngram_trie, quote_links, rule_ensemble, token_counts, word_bpe  # noqa: E402
-from strandlake.llm.components import connected_components  # noqa: E402
+from strandlake.operators.components import connected_components  # noqa: E402
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, digest string, node string, rid string"
