@@ -13,7 +13,6 @@ import functools
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from tokenizers import Tokenizer
 
 NONE = np.int64(2**62)
 POSITION = np.int64(2**32 - 1)
@@ -76,6 +76,10 @@ class WordBpe:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pattern).findall
+        # beyond ASCII the library's own tables decide, as other versions of Unicode split and lower-case differently
+        parts = {"version": spec["version"], "model": {"type": "BPE", "vocab": {}, "merges": []}, "normalizer": spec["normalizer"], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]}}
+        front = Tokenizer.from_str(json.dumps(parts | {"added_tokens": [], "truncation": None, "padding": None, "post_processor": None, "decoder": None}))
+        self.normalise, self.pieces = front.normalizer.normalize_str, front.pre_tokenizer.pre_tokenize_str
         shown = byte_symbols()
         self.inner = np.array([vocab[shown[b]] for b in range(256)], dtype=np.int64)
         self.final = np.array([vocab[shown[b] + suffix] for b in range(256)], dtype=np.int64)
@@ -176,8 +180,9 @@ class WordBpe:
         """The words of a chunk in lower case."""
         if "<|" in chunk and self.split_special and (parts := self.split_special.split(chunk))[1:]:
             return [w for k, part in enumerate(parts) for w in ([self.special[part]] if k % 2 else self._split(part))]
-        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        plain = plain.lower()
+        if not chunk.isascii():
+            return [w for w, _ in self.pieces(self.normalise(chunk))]
+        plain = chunk.lower()
         if plain.isalpha():
             return [plain]
         return [plain[:-1], plain[-1]] if plain[-1:] in (".", ",") and plain[:-1].isalpha() else self.find(plain)

@@ -73,6 +73,21 @@ def test_encoding_is_the_librarys(library):
             assert shown[i].decode() == library.decode(want, skip_special_tokens=False) == bpe.decode(want)
 
 
+def test_encoding_of_every_character(library):
+    bpe = word_bpe.load(WORD)
+    every = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    for cases in ([f"a{c}b" for c in every], [f"{c}É{c}\u0301 {c}" for c in every[: 2**16]]):
+        e = bpe.encode_batch(cases)
+        for i in range(0, len(cases), 50_000):
+            want = library.encode_batch(cases[i : i + 50_000], add_special_tokens=False)
+            assert all(e.of(i + k).tolist() == w.ids for k, w in enumerate(want))
+    rnd = random.Random(5)
+    planes = [every, [chr(x) for x in range(0x2000)], [chr(x) for x in range(0x900, 0xE00)], [*"aAsStTmM'σΣ \u0301\u0307İıßﬁ.,!1²³中🙂", "<|endoftext|>"]]
+    cases = ["".join(rnd.choice(planes[i % 4]) for _ in range(12)) for i in range(10_000)]
+    e = bpe.encode_batch(cases)
+    assert all(e.of(k).tolist() == w.ids for k, w in enumerate(library.encode_batch(cases, add_special_tokens=False)))
+
+
 def test_bpe_digests_and_round_trip(spark, library):
     docs = documents(spark, list(enumerate(texts() + ODD)) + [(0, texts()[0]), (None, "x")])
     rows = bpe_codec.digests(docs, WORD).collect()
