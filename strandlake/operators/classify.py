@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.seq import canonical, kmers
 from strandlake.operators import kmerset
+from strandlake.operators.membership import probable
+from strandlake.sources.staging import staged
 
 #: Class and confidence of each of the 16 masks (bits: 8 both, 4 left, 2 right, 1 marginal).
 MASKS = [
@@ -18,14 +20,20 @@ MASKS = [
 CLASSES = ("left", "right", "both", "neither", "ambiguous")
 
 
-def read_kmers(reads: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
-    """key, kmer: distinct canonical k-mers of each read, combined before the shuffle."""
-    return kmers(reads, k, seq, keep=(key,)).select(key, canonical("kmer").alias("kmer")).distinct()
+def hits(reads: DataFrame, index: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
+    """key, kmer and the index's other columns for each window of a read, on either strand, whose k-mer the index has.
+
+    index: kmer (distinct), other columns. It is written once; windows that a filter of its k-mers rules
+    out are dropped where they arise, so only likely hits are dealt by k-mer.
+    """
+    index = staged(index, "index")
+    likely = probable(index.select("kmer"), index.count())
+    return kmers(reads, k, seq, keep=(key,)).select(key, canonical("kmer").alias("kmer")).where(likely(F.col("kmer"))).join(index, "kmer")
 
 
 def matching(reads: DataFrame, kmer_set: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
     """Keys of reads with a k-mer of the set, on either strand."""
-    return read_kmers(reads, k, key, seq).join(kmer_set, "kmer", "left_semi").select(key).distinct()
+    return hits(reads, kmer_set, k, key, seq).select(key).distinct()
 
 
 def filter_reads(reads: DataFrame, kmer_set: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
@@ -40,16 +48,18 @@ def extract_reads(reads: DataFrame, edges: DataFrame, k: int, key: str = "read_i
 
 
 def reference_masks(references: DataFrame, k: int, key: str = "ref", seq: str = "seq") -> DataFrame:
-    """kmer, mask: bit i for reference number i (0 .. 63)."""
-    held = kmers(references, k, seq, keep=(key,)).select(canonical("kmer").alias("kmer"), F.expr(f"shiftleft(1L, cast({key} as int))").alias("bit"))
-    return held.groupBy("kmer").agg(F.bit_or("bit").alias("mask"))
+    """kmer, masks: for each k-mer an array of (word, mask); bit i of word w stands for reference number 64 w + i. Any number of references."""
+    held = kmers(references, k, seq, keep=(key,)).select(canonical("kmer").alias("kmer"), F.expr(f"{key} div 64").alias("word"), F.expr(f"shiftleft(1L, cast({key} % 64 as int))").alias("bit"))
+    held = held.groupBy("kmer", "word").agg(F.bit_or("bit").alias("mask"))
+    return held.groupBy("kmer").agg(F.collect_list(F.struct("word", "mask")).alias("masks"))
 
 
 def select_by_references(reads: DataFrame, masks: DataFrame, k: int, threshold: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
-    """key, mask, matched: references that share a k-mer with the read, and whether they reach the threshold."""
-    hits = read_kmers(reads, k, key, seq).join(masks, "kmer").groupBy(key).agg(F.bit_or("mask").alias("mask"))
-    held = reads.select(key).distinct().join(hits, key, "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    return held.withColumn("matched", F.bit_count("mask") >= threshold)
+    """key, masks, refs, matched: the references that share a k-mer with the read, as (word, mask) in order, their number, and whether it reaches the threshold."""
+    words = hits(reads, masks, k, key, seq).select(key, F.explode("masks").alias("m")).groupBy(key, "m.word").agg(F.bit_or("m.mask").alias("mask"))
+    found = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("masks"), F.sum(F.bit_count("mask")).alias("refs"))
+    held = reads.select(key).distinct().join(found, key, "left")
+    return held.select(key, F.coalesce("masks", F.expr("cast(array() as array<struct<word: bigint, mask: bigint>>)")).alias("masks"), F.coalesce("refs", F.lit(0)).cast("long").alias("refs")).withColumn("matched", F.col("refs") >= threshold)
 
 
 def two_genome_index(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -60,8 +70,8 @@ def two_genome_index(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
 def read_masks(reads: DataFrame, index: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
     """key, mask of each read; pairs share a key."""
     bit = F.expr("shiftleft(1, 2 * cast(in_lhs as int) + cast(in_rhs as int))")
-    hits = read_kmers(reads, k, key, seq).join(index, "kmer").groupBy(key).agg(F.bit_or(bit).alias("mask"))
-    return reads.select(key).distinct().join(hits, key, "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    found = hits(reads, index, k, key, seq).groupBy(key).agg(F.bit_or(bit).alias("mask"))
+    return reads.select(key).distinct().join(found, key, "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
 
 
 def classified(masks: DataFrame) -> DataFrame:
@@ -109,7 +119,7 @@ def subtree_totals(annotated: DataFrame, paths: DataFrame) -> DataFrame:
 
 def classify_taxa(reads: DataFrame, annotated: DataFrame, paths: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
     """key, node: the most specific taxon of reads whose hits all lie on one line from the root; others are left out."""
-    hits = read_kmers(reads, k, key, seq).join(annotated.where("node is not null"), "kmer").select(key, "node").distinct().join(paths, "node")
-    grouped = hits.groupBy(key).agg(F.collect_set("path").alias("paths"), F.max_by("path", F.size("path")).alias("deep"))
+    found = hits(reads, annotated.where("node is not null"), k, key, seq).select(key, "node").distinct().join(paths, "node")
+    grouped = found.groupBy(key).agg(F.collect_set("path").alias("paths"), F.max_by("path", F.size("path")).alias("deep"))
     line = F.expr("forall(paths, p -> p = slice(deep, 1, size(p)))")
     return grouped.where(line).select(key, F.element_at("deep", -1).alias("node"))

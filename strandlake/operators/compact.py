@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.seq import kmers, reverse_complement
+from strandlake.functions.seq import canonical, kmers, reverse_complement
 from strandlake.operators.components import tied
 from strandlake.operators.graph import degrees, with_nodes
-from strandlake.sources.staging import staged
+from strandlake.sources.staging import free, staged
 
 
 def previous_edges(edges: DataFrame) -> DataFrame:
@@ -20,33 +20,65 @@ def previous_edges(edges: DataFrame) -> DataFrame:
 
 
 def positions(edges: DataFrame) -> DataFrame:
-    """edge, count, head, pos: the segment's first edge and the place in it from 0. Pure cycles have no head and are left out.
+    """edge, count, head, pos: the segment's first edge and the place in it from 0.
 
     Pointer doubling: after round r an edge knows its 2**r-th predecessor, so rounds number the
-    logarithm of the longest path; each is one equi-join.
+    logarithm of the longest path; each is one equi-join. A pure cycle begins with its edge that is least
+    on both strands; the other strand's cycle ends with that edge's reverse complement.
     """
-    state = staged(previous_edges(edges).select("edge", "count", F.col("prev").alias("jump"), F.when(F.col("prev").isNull(), F.lit(0)).otherwise(1).cast("long").alias("pos"), F.when(F.col("prev").isNull(), F.col("edge")).alias("head")), "segments")
+    before = staged(previous_edges(edges), "previous")
+    placed, loops = _doubled(before)
+    if loops is None:
+        return placed
+    ring = staged(before.join(loops, "edge", "left_semi"), "rings")
+    ties = tied(ring.select(F.col("edge").alias("a"), F.col("prev").alias("b")))
+    home = ring.join(ties.select(F.col("a").alias("edge"), F.col("b").alias("ring")), "edge", "left").select("edge", "prev", F.coalesce("ring", "edge").alias("ring"))
+    first = home.groupBy("ring").agg(F.min(F.struct(canonical("edge").alias("c"), "edge")).alias("m")).select("ring", "m.c", "m.edge")
+    heads = first.where("edge = c").select("edge").unionByName(home.join(first.where("edge <> c").select(F.col("edge").alias("prev")), "prev", "left_semi").select("edge"))
+    cut = ring.join(heads.withColumn("begins", F.lit(True)), "edge", "left").select("edge", "count", F.when(F.col("begins").isNull(), F.col("prev")).alias("prev"))
+    return placed.unionByName(_doubled(cut)[0])
+
+
+def _doubled(before: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(edge, count, head, pos of edges on paths; edge of those on pure cycles, None without any) of edge, count, prev."""
+    begins = F.col("prev").isNull()
+    state = staged(before.select("edge", "count", F.col("prev").alias("jump"), F.when(begins, F.lit(0)).otherwise(1).cast("long").alias("pos"), F.when(begins, F.col("edge")).alias("head")), "segments")
     open_before = None
     while True:
         left = state.where("jump is not null").count()
         if not left or left == open_before:
-            return state.where("head is not null").select("edge", "count", "head", "pos")
+            placed = state.where("head is not null").select("edge", "count", "head", "pos")
+            return placed, state.where("head is null").select("edge") if left else None
         open_before = left
         ahead = state.select(F.col("edge").alias("jump"), F.col("jump").alias("far"), F.col("pos").alias("more"), F.col("head").alias("found"))
         moved = state.where("jump is not null").join(ahead, "jump").select("edge", "count", F.col("far").alias("jump"), (F.col("pos") + F.col("more")).alias("pos"), F.col("found").alias("head"))
-        state = staged(state.where("jump is null").unionByName(moved), "segments")
+        old, state = state, staged(state.where("jump is null").unionByName(moved), "segments")
+        free(old)
+
+
+#: Places of a path that are gathered together before its sequence is put together from such pieces.
+PIECE = 4096
 
 
 def segments(edges: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """head, last, length (edges), mean_count (rounded), min_count, first_count, last_count, total, seq of each unbranched path."""
     placed = positions(edges) if placed is None else placed
-    grouped = placed.groupBy("head").agg(
-        F.count("*").alias("length"), F.sum("count").alias("total"), F.min("count").alias("min_count"), F.max("count").alias("max_count"), F.stddev_pop("count").alias("sd_count"),
+    at = F.col("pos") - F.col("piece") * PIECE
+    pieces = placed.withColumn("piece", F.expr(f"pos div {PIECE}")).groupBy("head", "piece").agg(
+        F.count("*").alias("length"), F.sum("count").alias("total"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"), F.min("count").alias("min_count"), F.max("count").alias("max_count"),
         F.max_by("edge", "pos").alias("last"), F.min_by("count", "pos").alias("first_count"), F.max_by("count", "pos").alias("last_count"),
-        F.array_sort(F.collect_list(F.struct("pos", F.substring("edge", -1, 1).alias("b")))).alias("bases"),
+        F.array_sort(F.collect_list(F.struct(at.alias("pos"), F.substring("edge", -1, 1).alias("b")))).alias("bases"),
+    )
+    pieces = pieces.withColumn("bases", F.array_join(F.transform("bases", lambda b: b["b"]), ""))
+    grouped = pieces.groupBy("head").agg(
+        F.sum("length").alias("length"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("min_count").alias("min_count"), F.max("max_count").alias("max_count"),
+        F.max_by("last", "piece").alias("last"), F.min_by("first_count", "piece").alias("first_count"), F.max_by("last_count", "piece").alias("last_count"),
+        F.array_sort(F.collect_list(F.struct("piece", "bases"))).alias("bases"),
     )
-    seq = F.concat(F.expr("left(head, length(head) - 1)"), F.array_join(F.transform("bases", lambda b: b["b"]), ""))
-    return grouped.select("head", "last", "length", F.round(F.col("total") / F.col("length")).cast("long").alias("mean_count"), "min_count", "max_count", "sd_count", "first_count", "last_count", "total", seq.alias("seq"))
+    mean = F.col("total") / F.col("length")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("length") - mean * mean))
+    seq = F.concat(F.expr("left(head, length(head) - 1)"), F.array_join(F.transform("bases", lambda b: b["bases"]), ""))
+    return grouped.select("head", "last", "length", F.round(mean).cast("long").alias("mean_count"), "min_count", "max_count", spread.alias("sd_count"), "first_count", "last_count", "total", seq.alias("seq"))
 
 
 def entry_edges(segs: DataFrame) -> DataFrame:

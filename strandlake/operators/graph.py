@@ -43,7 +43,8 @@ def trim(edges: DataFrame, cutoff: int | None = None, scale_by_k: float | None =
     if cutoff is None:
         from strandlake.functions.stats import infer_cutoff
 
-        cutoff = infer_cutoff([(r.multiplicity, r.n) for r in histogram(edges).orderBy("multiplicity").limit(10_000).collect()]) or 1
+        # a row for each distinct multiplicity: of n windows at most the square root of 2 n
+        cutoff = infer_cutoff([(r.multiplicity, r.n) for r in histogram(edges).collect()]) or 1
     if scale_by_k and k:
         cutoff = cutoff * scale_by_k / k
     return edges.where(F.col("count") > cutoff)

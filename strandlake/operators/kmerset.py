@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.seq import canonical, kmers
+from strandlake.sources.staging import staged
 
 
 def build(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -54,13 +55,18 @@ def neighbours(kmer_set: DataFrame, k: int) -> DataFrame:
 def mark_near(annotated: DataFrame, k: int) -> DataFrame:
     """Clears both flags of k-mers of one side only that have a neighbour of the other side only.
 
-    Decided on the flags as given: one equi-join of the exclusive k-mers with their neighbours.
+    Decided on the flags as given. Being neighbours is mutual, so only the smaller side is expanded, and
+    each match marks both of its ends.
     """
-    exclusive = annotated.where(F.col("in_lhs") != F.col("in_rhs"))
-    facing = neighbours(exclusive.select("kmer", F.col("in_lhs").alias("other_lhs")), k).distinct()
-    near = exclusive.join(facing, "kmer").where(F.col("in_lhs") != F.col("other_lhs")).select("kmer").distinct().withColumn("near", F.lit(True))
+    annotated = staged(annotated, "annotated")
+    sides = annotated.where(F.col("in_lhs") != F.col("in_rhs"))
+    told = sides.agg(F.count_if("in_lhs").alias("l"), F.count_if("in_rhs").alias("r")).first()
+    small, large = ("in_lhs", "in_rhs") if told.l <= told.r else ("in_rhs", "in_lhs")
+    facing = neighbours(sides.where(small).select("kmer", F.col("kmer").alias("origin")), k)
+    near = facing.join(sides.where(large).select("kmer"), "kmer").select(F.explode(F.array("kmer", "origin")).alias("kmer")).distinct()
+    held = annotated.join(near.withColumn("near", F.lit(True)), "kmer", "left")
     flag = F.coalesce("near", F.lit(False))
-    return annotated.join(near, "kmer", "left").select("kmer", (F.col("in_lhs") & ~flag).alias("in_lhs"), (F.col("in_rhs") & ~flag).alias("in_rhs"))
+    return held.select("kmer", (F.col("in_lhs") & ~flag).alias("in_lhs"), (F.col("in_rhs") & ~flag).alias("in_rhs"))
 
 
 def from_graph(edges: DataFrame) -> DataFrame:

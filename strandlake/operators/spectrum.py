@@ -12,8 +12,8 @@ from strandlake.sources.staging import staged
 
 
 def universe(spark, k: int) -> DataFrame:
-    """All canonical k-mers of a small k, built from k joins of the four bases."""
-    out = spark.range(4 ** min(k, 12)).select(F.col("id"))
+    """All canonical k-mers of a k up to 31, from the numbers below 4**k, two bits a base."""
+    out = spark.range(4**k).select(F.col("id"))
     base = "substring('ACGT', cast(shiftright(id, {s}) & 3 as int) + 1, 1)"
     out = out.select(F.expr("concat(" + ", ".join(base.format(s=2 * (k - 1 - i)) for i in range(k)) + ")").alias("kmer"))
     return out.where(F.col("kmer") == canonical("kmer"))

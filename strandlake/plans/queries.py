@@ -164,12 +164,12 @@ def filter_pairs(spark, sf):
     return turns.select("pair_id").distinct().join(hit.withColumn("matched", F.lit(True)), "pair_id", "left").select("pair_id", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
-@query(f"""WITH m AS (SELECT DISTINCT kmer, (read_id % 64) AS ref FROM ({canon_sql(K, *BENCH)})), h AS (SELECT DISTINCT k.read_id, m.ref FROM ({canon_sql(K)}) k JOIN m USING (kmer))
+@query(f"""WITH m AS (SELECT DISTINCT kmer, read_id AS ref FROM ({canon_sql(K, *BENCH)})), h AS (SELECT DISTINCT k.read_id, m.ref FROM ({canon_sql(K)}) k JOIN m USING (kmer))
 SELECT doc_id AS read_id, count(ref) AS refs, count(ref) >= 2 AS matched FROM documents LEFT JOIN h ON doc_id = read_id GROUP BY 1""")
 def reference_masks(spark, sf):
-    refs = reads_of(spark, sf, *BENCH).withColumn("ref", F.col("read_id") % 64)
+    refs = reads_of(spark, sf, *BENCH).withColumnRenamed("read_id", "ref")
     held = classify.select_by_references(reads_of(spark, sf), classify.reference_masks(refs, K), K, 2)
-    return held.select("read_id", F.bit_count("mask").cast("long").alias("refs"), "matched")
+    return held.select("read_id", "refs", "matched")
 
 
 TAXA = """tree AS (SELECT 0 AS node, [0] AS path UNION ALL SELECT 1 + r_regionkey, [0, 1 + r_regionkey] FROM region UNION ALL SELECT 100 + n_nationkey, [0, 1 + n_regionkey, 100 + n_nationkey] FROM nation)"""
@@ -374,7 +374,8 @@ def pop_bubbles(spark, sf):
 def abundance(spark, sf):
     genes = reads_of(spark, sf, *BENCH)
     index = S.kmers(genes, 20, keep=("read_id",)).select(F.col("read_id").alias("gene"), S.canonical("kmer").alias("kmer")).distinct()
-    hits = classify.read_kmers(reads_of(spark, sf), 20).join(index, "kmer").groupBy("read_id", "gene").agg(F.count("*").alias("n"))
+    found = S.kmers(reads_of(spark, sf), 20, keep=("read_id",)).select("read_id", S.canonical("kmer").alias("kmer")).distinct()
+    hits = found.join(index, "kmer").groupBy("read_id", "gene").agg(F.count("*").alias("n"))
     return spectrum.abundance(hits, genes.select(F.col("read_id").alias("gene"), F.length("seq").alias("length")), 10)
 
 
