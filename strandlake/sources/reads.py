@@ -1,17 +1,20 @@
 """Read sources (FASTA, FASTQ, lines), sinks and the stores of sets and graphs.
 
 A reads table has read_id, file, fmt, label, seq, qlabel, qual. Compressed files are read by suffix.
-FASTA splits at record starts. FASTQ may wrap lines, and its qualities may contain ``@``, so a file is
-parsed in order by one task; files are parsed in parallel.
+FASTA splits at record starts. FASTQ lines are numbered by file, so records of four lines meet in parallel;
+files that wrap lines are parsed in order, each as a stream of lines through one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.sources.staging import staged
+
 FASTQ = "label string, seq string, qlabel string, qual string"
 
 
@@ -19,14 +22,21 @@ def _numbered(df: DataFrame, fmt: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("read_id"), "file", F.lit(fmt).alias("fmt"), "label", "seq", "qlabel", "qual")
 
 
-def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of a label line and any number of sequence lines. Text before the first record is an error."""
+def read_fasta(spark: SparkSession, *paths: str, check: bool = True) -> DataFrame:
+    """Records of a label line and any number of sequence lines. Text before a file's first record is a ValueError.
+
+    The check is a pass over the text before the table is returned; check=False leaves it out.
+    """
     raw = spark.read.option("lineSep", "\n>").text(list(paths)).select(F.input_file_name().alias("file"), F.col("value"))
+    if check:  # only what stands before the first separator of a file can begin with >
+        first = raw.where(F.trim(F.regexp_replace("value", "[\r\n]", "")) != "").groupBy("file").agg(F.max(F.col("value").rlike(r"^\s*>")).alias("ok"))
+        wrong = [r.file for r in first.where("not ok").limit(3).collect()]
+        if wrong:
+            raise ValueError(f"text before the first record: {wrong}")
     raw = raw.where(F.trim(F.regexp_replace("value", "[\r\n]", "")) != "")
-    whole = F.regexp_replace("value", "^>", "")
-    start = F.col("value").startswith(">")
+    whole = F.regexp_replace("value", r"^\s*>", "")
     parts = F.split(F.regexp_replace(whole, "\r", ""), "\n", 2)
-    held = raw.select("file", F.get(parts, F.lit(0)).alias("label"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq"), start.alias("start"))
+    held = raw.select("file", F.get(parts, F.lit(0)).alias("label"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
     return _numbered(held.withColumn("qlabel", F.lit(None).cast("string")).withColumn("qual", F.lit(None).cast("string")), "fasta")
 
 
@@ -69,19 +79,48 @@ def parse_fastq(lines: Iterable[str]) -> Iterator[tuple[str, str, str, str]]:
         yield label, bases, qlabel, "".join(qual)
 
 
-def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records with wrapped lines; each file is parsed in order as its lines stream through one task."""
-    spark_lines = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), "value")
-
-    def run(batches):
-        import pandas as pd
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, file_no, line (from 0 in its file), value. Each split counts its lines; what lies ahead of a split is a sum over one row a split."""
+    raw = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.col("value"), F.monotonically_increasing_id().alias("at"))
+    splits = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    ahead = splits.select("file", "block", "first", F.expr("coalesce(sum(n) over (partition by file order by block rows between unbounded preceding and 1 preceding), 0)").alias("ahead"), F.expr("dense_rank() over (order by file) - 1").cast("long").alias("file_no"))
+    return raw.join(F.broadcast(ahead), ["file", "block"]).select("file", "file_no", (F.col("ahead") + F.col("at") - F.col("first")).alias("line"), "value")  # one row a split
 
-        for pdf in batches:
-            for file, text in zip(pdf["file"], pdf["value"], strict=True):
-                rows = list(parse_fastq(text.split("\n")))
-                yield pd.DataFrame([(file, *r) for r in rows], columns=["file", "label", "seq", "qlabel", "qual"])
 
-    return _numbered(spark_lines.mapInPandas(run, f"file string, {FASTQ}"), "fastq")
+def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
+    """Records of FASTQ files, in files with wrapped lines too; a record that doesn't fit stops the job.
+
+    Files whose records all have four lines are put together by line number, over all tasks. The others
+    are sorted by line and parsed in order, a line at a time. The records are written once.
+    """
+    lines = numbered_lines(spark, *paths).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    place = [F.max(F.when(F.col("line") % 4 == i, F.col("value"))).alias(c) for i, c in enumerate(("label", "seq", "qlabel", "qual"))]
+    four = lines.groupBy("file", "file_no", F.expr("line div 4").alias("record")).agg(*place, F.max(F.length("value")).alias("longest")).where("longest > 0")
+    name = F.expr("substring(label, 2)")
+    plain = F.col("label").startswith("@") & F.col("qlabel").startswith("+") & (F.length("seq") == F.length("qual")) & ((F.length("qlabel") == 1) | (F.expr("substring(qlabel, 2)") == name))
+    four = staged(four.select("file", "file_no", "record", name.alias("label"), "seq", F.expr("substring(qlabel, 2)").alias("qlabel"), "qual", F.coalesce(plain, F.lit(False)).alias("plain")), "fastq")
+    wrapped = staged(four.where("not plain").select("file").distinct(), "wrapped")
+    columns = ["file", "file_no", "record", "label", "seq", "qlabel", "qual"]
+    held = four.select(columns)
+    if not wrapped.isEmpty():
+
+        def run(batches):
+            import pandas as pd
+
+            rows = ((f, n, v) for pdf in batches for f, n, v in zip(pdf["file"], pdf["file_no"], pdf["value"], strict=True))
+            out = []
+            for (file, number), some in groupby(rows, key=lambda r: r[:2]):
+                for i, record in enumerate(parse_fastq(v for _, _, v in some)):
+                    out.append((file, number, i, *record))
+                    if len(out) == 10_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
+
+        ordered = lines.join(wrapped, "file", "left_semi").repartition("file").sortWithinPartitions("file", "line")
+        parsed = staged(ordered.mapInPandas(run, f"file string, file_no long, record long, {FASTQ}"), "fastq")
+        held = held.join(wrapped, "file", "left_anti").unionByName(parsed)
+    return held.select((F.shiftleft("file_no", 33) + F.col("record")).alias("read_id"), "file", F.lit("fastq").alias("fmt"), "label", "seq", "qlabel", "qual")
 
 
 def file_list(spark: SparkSession, path: str) -> list[str]:
@@ -141,13 +180,30 @@ def load(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, int]:
     return spark.read.parquet(f"{path}/data"), int(about.k)
 
 
-def graph_text(edges: DataFrame) -> DataFrame:
-    """value: edge and count, tab-separated, in order of edges."""
-    return edges.orderBy("edge").select(F.concat_ws("\t", "edge", F.col("count").cast("string")).alias("value"))
+#: Version in the headers of text dumps.
+DUMP_VERSION = 1
+
+
+def graph_text(edges: DataFrame, k: int | None = None, asymmetric: bool = False) -> DataFrame:
+    """value: edge and count, tab-separated, in order of edges; with k, two header lines before: the version, then k, number of edges and flags."""
+    body = edges.select("edge", F.concat_ws("\t", "edge", F.col("count").cast("string")).alias("value"))
+    if k is not None:
+        head = edges.agg(F.count("*").alias("n")).select(F.explode(F.array(F.struct(F.lit("").alias("edge"), F.lit(f"#{DUMP_VERSION}").alias("value")), F.struct(F.lit(" ").alias("edge"), F.concat(F.lit(f"{k} "), F.col("n").cast("string"), F.lit(f" {int(asymmetric)}")).alias("value")))).alias("h")).select("h.*")
+        body = head.unionByName(body)
+    return body.orderBy("edge").select("value")
 
 
-def parse_graph_text(lines: DataFrame, k: int) -> DataFrame:
-    """edge, count of such lines; a wrong length or base stops the job."""
+def parse_graph_text(lines: DataFrame, k: int | None = None) -> DataFrame:
+    """edge, count of such lines; k is given or stands in the header. A wrong version, length or base stops the job."""
+    if k is None:
+        head = [r.value for r in lines.where(r"value rlike '^#|^[0-9]+ [0-9]+ [01]$'").collect()]  # the two lines of the header
+        about = [h.split() for h in head if not h.startswith("#")]
+        if f"#{DUMP_VERSION}" not in head or len(about) != 1:
+            raise ValueError(f"no header of version {DUMP_VERSION}: {head[:3]}")
+        k = int(about[0][0])
+        if int(about[0][1]) != lines.count() - 2:
+            raise ValueError(f"the header names {about[0][1]} edges")
+    lines = lines.where(r"not value rlike '^#|^[0-9]+ [0-9]+ [01]$'")
     held = lines.select(F.split("value", "\t").alias("p")).select(F.get("p", F.lit(0)).alias("edge"), F.get("p", F.lit(1)).cast("long").alias("count"))
     wrong = F.coalesce((F.length("edge") != k + 1) | ~F.col("edge").rlike("^[ACGT]+$") | F.col("count").isNull(), F.lit(True))
     return held.select(F.when(wrong, F.raise_error(F.concat(F.lit("bad edge: "), F.coalesce("edge", F.lit("null"))))).otherwise(F.col("edge")).alias("edge"), "count")

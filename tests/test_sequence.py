@@ -312,6 +312,76 @@ def test_streamed_counts(spark, tmp_path):
     assert got == collections.Counter(min(w, rc(w)) for s in seqs for w in windows(s, 9))
 
 
+def test_streamed_counts_go_on_after_a_restart(spark, tmp_path):
+    from strandlake.streaming.counts import classify_batches, count_stream, windowed_counts
+
+    seqs, at = [dna(90 + i, 60) for i in range(5)], str(tmp_path / "in")
+    want = lambda n: collections.Counter(min(w, rc(w)) for s in seqs[:n] for w in windows(s, 9))
+    stream = spark.readStream.schema("read_id long, seq string").option("maxFilesPerTrigger", 1).parquet
+    for n, s in enumerate(seqs, 1):
+        spark.createDataFrame([(n, s)], "read_id long, seq string").coalesce(1).write.mode("append").parquet(at)
+        if n in (2, 3, 5):  # each time a new query on the same checkpoint
+            assert {r.kmer: r.n for r in count_stream(stream(at), 9, str(tmp_path / "state"), every=2).table.collect()} == want(n)
+    index, seen = classify.two_genome_index(kmerset.build(table(spark, seqs[0]), 15), kmerset.build(table(spark, seqs[1]), 15), 15), {}
+    index = spark.createDataFrame(index.collect(), index.schema)
+    classify_batches(stream(at), index, 15, lambda df, n: seen.update({r.read_id: r["mask"] for r in df.collect()}), str(tmp_path / "classes")).awaitTermination()
+    assert seen == {1: 4, 2: 2, 3: 0, 4: 0, 5: 0}
+    events = spark.createDataFrame([("2024-01-01 00:05:00", "a"), ("2024-01-01 03:00:00", "a"), ("2024-01-01 00:06:00", "late")], "ts string, key string").selectExpr("cast(ts as timestamp) as ts", "key")
+    for i, row in enumerate(events.collect()):
+        spark.createDataFrame([row], events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        held = windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")), "ts", "key")
+        held.writeStream.format("parquet").option("path", str(tmp_path / "windows")).option("checkpointLocation", str(tmp_path / "w")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert [r.key for r in spark.read.parquet(str(tmp_path / "windows")).collect()] == ["a"]
+
+
+def test_wrapped_and_long_fastq(spark, tmp_path):
+    rows = [(f"r{i}", dna(300 + i, 20 + i % 7)) for i in range(200)]
+    (tmp_path / "plain.fq").write_text("".join(f"@{n}\n{s}\n+\n{'@' * len(s)}\n" for n, s in rows))
+    (tmp_path / "wrapped.fq").write_text("".join(f"@{n}\r\n{s[:9]}\r\n{s[9:]}\r\n+{n}\r\n{'+' * 9}\r\n{'@' * (len(s) - 9)}\r\n" for n, s in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # many splits a file
+    try:
+        both = R.read_fastq(spark, str(tmp_path / "plain.fq"), str(tmp_path / "wrapped.fq")).orderBy("read_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("plain", "wrapped"):
+        assert [(r.label, r.seq) for r in both if r.file.endswith(f"{name}.fq")] == rows
+    (tmp_path / "bad.fq").write_text("@a\nACGT\n+\n!!!\n")
+    with pytest.raises(Exception, match="4 bases, 3 qualities"):
+        R.read_fastq(spark, str(tmp_path / "bad.fq"))
+    (tmp_path / "bad.fa").write_text("ACGT\n>x\nAC\n")
+    with pytest.raises(ValueError, match="before the first record"):
+        R.read_fasta(spark, str(tmp_path / "bad.fa"))
+
+
+def test_dumps_have_headers(spark):
+    g = graph.build(table(spark, dna(5, 60)), 11)
+    lines = R.graph_text(g, 11)
+    assert [r.value for r in lines.limit(2).collect()] == ["#1", f"11 {g.count()} 0"]
+    assert as_dict(R.parse_graph_text(lines)) == as_dict(g)
+    with pytest.raises(ValueError, match="edges"):
+        R.parse_graph_text(lines.where(f"not startswith(value, '{sorted(as_dict(g))[0]}')"))
+    with pytest.raises(ValueError, match="no header"):
+        R.parse_graph_text(R.graph_text(g))
+
+
+def test_threading_by_pairs(spark):
+    from strandlake.plans.assembly import assemble
+
+    a, b, c, d = (dna(170 + i, 150) for i in range(4))
+    mid, k, insert = dna(175, 40), 21, 120
+    genomes = [a + mid + b, c + mid + d]
+    rows = [(1000 * g + i, x[i : i + 35], rc(x[i + insert - 35 : i + insert])) for g, x in enumerate(genomes) for i in range(0, len(x) - insert + 1)]
+    mates = spark.createDataFrame(rows, "pair_id long, s1 string, s2 string")
+    edges = graph.build(table(spark, *genomes), k)
+    placed = supergraph.placed_mates(mates, supergraph.edge_index(edges), k)
+    size = supergraph.insert_size(placed, supergraph.superpaths(compact.segments(edges), k), k).first()
+    assert size["mean"] == pytest.approx(insert) and size.deviation == 0
+    got = {r.seq for r in supergraph.thread_pairs(edges, mates, k, insert, coverage=1.0, least=3).collect()}
+    assert all(x in got or rc(x) in got for x in genomes)
+    made = {r.seq for r in assemble(spark.createDataFrame([], "read_id long, seq string"), k, 0, 1, 50, 3, mates, insert, coverage=20.0).collect()}
+    assert {len(x) for x in made} <= {340, 338, 339} and all(any(x in y or rc(x) in y for y in genomes) for x in made) and len(made) == 2
+
+
 def test_entry_works_without_the_corpus_operators():
     import ast
     import pathlib
