@@ -80,10 +80,16 @@ def entropy0(seq: Column | str) -> Column:
 
 
 def entropy1(seq: str) -> Column:
-    """Base-2 entropy of the dinucleotides, overlapping; 0 below two bases."""
-    pairs = f"transform(sequence(1, length({seq}) - 1), i -> substring({seq}, i, 2))"
-    each = f"transform(array_distinct({pairs}), p -> size(filter({pairs}, q -> q = p)) / (length({seq}) - 1))"
-    return F.expr(f"case when length({seq}) < 2 then 0D else aggregate({each}, 0D, (t, x) -> t - x * log2(x)) end")
+    """Base-2 entropy of the dinucleotides, overlapping; 0 below two bases. Letters outside ACGT count as one more base."""
+    x = F.regexp_replace(F.col(seq), "[^ACGT]", "N")
+    letters = "ACGTN"
+    pair = {(a, b): (F.length(x) - F.length(F.replace(x, F.lit(a + b), F.lit("")))) / 2 for a in letters for b in letters if a != b}
+    for a in letters:  # of the places of a base, those behind another base or at the start begin a run
+        runs = sum((pair[b, a] for b in letters if b != a), F.startswith(x, F.lit(a)).cast("int"))
+        pair[a, a] = F.length(x) - F.length(F.replace(x, F.lit(a), F.lit(""))) - runs
+    total = F.length(x) - 1
+    bits = [F.when(n > 0, -(n / total) * F.log2(n / total)).otherwise(F.lit(0.0)) for n in pair.values()]
+    return F.when(total > 0, sum(bits[1:], bits[0])).otherwise(F.lit(0.0))
 
 
 def period2_share(seq: str) -> Column:

@@ -378,7 +378,7 @@ arg_min(count, pos) AS first_count, arg_max(count, pos) AS last_count, left(head
 
 def without_sql(gone: str) -> str:
     """The edges of g but those of the segments that gone names, on both strands."""
-    return f"x AS (SELECT edge FROM placed WHERE head IN ({gone})), y AS (SELECT edge FROM x UNION SELECT {rc('edge')} FROM x) SELECT edge, count FROM g WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.edge = g.edge)"
+    return f"z AS MATERIALIZED ({gone}), x AS MATERIALIZED (SELECT edge FROM placed JOIN z USING (head)), y AS MATERIALIZED (SELECT edge FROM x UNION SELECT {rc('edge')} FROM x) SELECT edge, count FROM g ANTI JOIN y USING (edge)"
 
 
 #: Four copies of the turns and one with a base changed in every 211: bubbles and ends of weak coverage by a rule.
@@ -434,8 +434,8 @@ def component_sizes(spark, sf):
     return held.withColumn("mean_count", F.round("mean_count", 6)).withColumn("sd_count", F.round("sd_count", 6))
 
 
-@query(f"""{walk_sql(NOISY, 24)}, c AS (SELECT segs.*, a.n_out > 1 AS begins, b.n_in > 1 OR b.n_out > 0 AS ends FROM segs JOIN d a ON a.node = s JOIN d b ON b.node = t WHERE a.n_in = 0 AND length <= 48),
-v AS (SELECT s, min(count) AS least FROM g GROUP BY s), o AS (SELECT head, CASE WHEN ends THEN {rc("t")} ELSE s END AS joint, CASE WHEN ends THEN last_count ELSE first_count END AS c FROM c WHERE begins <> ends),
+@query(f"""{walk_sql(NOISY, 24)}, c AS (SELECT segs.head, segs.s, segs.t, first_count, last_count, a.n_out > 1 AS begins, b.n_in > 1 OR b.n_out > 0 AS ends FROM segs JOIN d a ON a.node = s JOIN d b ON b.node = t WHERE a.n_in = 0 AND length <= 48),
+v AS MATERIALIZED (SELECT s, min(count) AS least FROM g GROUP BY s), o AS MATERIALIZED (SELECT head, CASE WHEN ends THEN {rc("t")} ELSE s END AS joint, CASE WHEN ends THEN last_count ELSE first_count END AS c FROM c WHERE begins <> ends),
 {without_sql("SELECT head FROM o JOIN v ON v.s = joint WHERE least >= c")}""")
 def prune_tips(spark, sf):
     return clean.prune_tips(_noisy(spark, sf), 24)
