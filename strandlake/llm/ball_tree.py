@@ -3,13 +3,15 @@
 A shard's tree halves its vectors until leaves are small; a node holds the centre and radius of its
 ball. For query q no vector below a node scores more than ``q . centre + radius * |q|``. Nodes are
 taken in order of this bound, for a block of queries together, and a query leaves a node once the
-bound lies below its k-th best score. Each query is first searched in one shard; the k-th score found
-there goes with it to all other shards, so most of their nodes are cut from the start.
+bound lies below its k-th best score. Trees are grown once and written. Each query is first searched
+in one shard, then in some more, then in the rest; its k-th score so far goes with it to the next
+shards, so most of their nodes are cut from the start.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 from itertools import count
 
 import numpy as np
@@ -21,14 +23,16 @@ from strandlake.llm.common import stage, table
 
 #: Most vectors of a shard and most queries of a block: what one task holds in memory.
 SHARD_ROWS, BLOCK_ROWS, LEAST_SHARD, LEAF = 65_536, 32_768, 2_048, 128
+#: Vectors this long or longer stay out of the trees: their products may not be exact in doubles.
+LARGE = 2.0**25
 FOUND = "query_id long, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id and floor(scale * x) of each component, of the vectors that are whole and finite; repeated rows become one."""
+    """vec_id and floor(scale * x) of each component, of the vectors that are whole and finite. vec_id is the key: of several vectors under one, the least in array order counts."""
     x = F.col(vector)
     fine = x.isNotNull() & F.col(key).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
-    return vectors.where(fine).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("v")).distinct()
+    return vectors.where(fine).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -46,9 +50,22 @@ class BallTree:
         self.order = np.arange(len(points))
         self.nodes: list[tuple] = []  # centre, radius, first, last, left, right
         self.points = points
-        self._build(0, len(points), leaf)
+        if len(points):
+            self._build(0, len(points), leaf)
         self.points = points[self.order]
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        wide = self.points.shape[1]
+        return {"points": self.points, "centres": np.array([n[0] for n in self.nodes]).reshape(-1, wide), "radii": np.array([n[1] for n in self.nodes]), "spans": np.array([n[2:] for n in self.nodes], dtype=np.int64).reshape(-1, 4)}
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> BallTree:
+        """The tree that arrays() described; its vectors are in the order of the tree."""
+        tree = cls.__new__(cls)
+        tree.points, tree.order = arrays["points"], np.arange(len(arrays["points"]))
+        tree.nodes = [(c, float(r), *span) for c, r, span in zip(arrays["centres"], arrays["radii"], arrays["spans"].tolist(), strict=True)]
+        return tree
+
     def _build(self, first: int, last: int, leaf: int) -> int:
         own = self.points[self.order[first:last]]
         centre = own.mean(axis=0)
@@ -101,35 +118,54 @@ class BallTree:
 
 
 def plain_search(ids: np.ndarray, points: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The same in unbounded integers, for components too large for exact doubles; scores stop at the limits of a long."""
+    """The same for few vectors or few queries that are very long: in whole numbers of 64 bits, in unbounded ones where those overflow. Scores beyond a long become its limits."""
     rows, found, scores = [], [], []
-    wide = points.astype(object)
-    for r, (q, own) in enumerate(zip(queries.astype(object), query_ids, strict=True)):
-        ranked = sorted((-int(s), int(i)) for s, i in zip(wide @ q, ids, strict=True) if i != own)[:k]
+    longest = [float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0))) for x in (points, queries)]
+    kind = np.int64 if longest[0] * longest[1] < 2.0**62 else object
+    wide = points.astype(kind)
+    for r, (q, own) in enumerate(zip(queries.astype(kind), query_ids, strict=True)):
+        ranked = heapq.nsmallest(k, ((-int(s), int(i)) for s, i in zip(wide @ q, ids, strict=True) if i != own))
         rows += [r] * len(ranked)
         found += [i for _, i in ranked]
         scores += [max(-(2**63), min(2**63 - 1, -s)) for s, _ in ranked]
     return rows, found, scores
 
 
-def search_shard(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """Searches one shard for one block of queries: vectors vec_id, v; queries query_id, q, floor."""
+def fitted(x: np.ndarray, wide: int) -> np.ndarray:
+    """x with so many columns; what is cut off would meet zeros."""
+    return x[:, :wide] if x.shape[1] >= wide else np.pad(x, ((0, 0), (0, wide - x.shape[1])))
+
+
+def grown(key: tuple, vectors: pa.Table) -> pa.Table:
+    """shard, tree: the ball tree of one shard with its identifiers, and the vectors too long for it."""
+    points, ids = matrix(vectors["v"]), vectors["vec_id"].to_numpy()
+    big = np.sqrt((points.astype(np.float64) ** 2).sum(axis=1)) >= LARGE
+    tree = BallTree(points[~big].astype(np.float64))
+    out = io.BytesIO()
+    np.savez(out, ids=ids[~big][tree.order], big=points[big], big_ids=ids[big], **tree.arrays())
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([out.getvalue()], pa.binary())})
+
+
+def search_shard(trees: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """Searches one shard for one block of queries: trees shard, tree; queries query_id, q, floor."""
     none = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-    if not vectors.num_rows or not queries.num_rows:
+    if not trees.num_rows or not queries.num_rows:
         return none
-    points, asked = matrix(vectors["v"]), matrix(queries["q"])
-    wide = max(points.shape[1], asked.shape[1])
-    points, asked = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (points, asked))
-    ids, query_ids = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-    real, real_asked = points.astype(np.float64), asked.astype(np.float64)
-    reach = np.sqrt((real**2).sum(axis=1).max()) * np.sqrt((real_asked**2).sum(axis=1).max())
-    if reach >= 2**52:
-        rows, found, scores = plain_search(ids, points, asked, query_ids, k)
-        return pa.table({"query_id": query_ids[rows], "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.int64())})
+    held = dict(np.load(io.BytesIO(trees["tree"][0].as_py())))
+    asked = fitted(matrix(queries["q"]), held["points"].shape[1])
+    query_ids, real = queries["query_id"].to_numpy(), asked.astype(np.float64)
     floor = queries["floor"].fill_null(-(2**62)).to_numpy().astype(np.float64)
-    best, best_ids = BallTree(real).search(ids, real_asked, query_ids, floor, k)
-    r, c = np.nonzero(np.isfinite(best) & (best >= floor[:, None]))
-    return pa.table({"query_id": query_ids[r], "vec_id": best_ids[r, c], "score": best[r, c].astype(np.int64)})
+    long = np.sqrt((real**2).sum(axis=1)) >= LARGE
+    tree, some = BallTree.of(held), np.flatnonzero(~long)
+    best, best_ids = tree.search(held["ids"], real[some], query_ids[some], floor[some], k)
+    r, c = np.nonzero(np.isfinite(best) & (best >= floor[some][:, None]))
+    parts = [pa.table({"query_id": query_ids[some][r], "vec_id": best_ids[r, c], "score": best[r, c].astype(np.int64)})]
+    whole, whole_ids = np.concatenate([held["points"].astype(np.int64), held["big"]]), np.concatenate([held["ids"], held["big_ids"]])
+    for who, ids, points in ((some, held["big_ids"], held["big"]), (np.flatnonzero(long), whole_ids, whole)):
+        if len(who) and len(ids):
+            rows, found, scores = plain_search(ids, points, asked[who], query_ids[who], k)
+            parts.append(pa.table({"query_id": query_ids[who][rows], "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.int64())}))
+    return pa.concat_tables(parts)
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -139,29 +175,34 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
-    vectors and queries: vec_id long, v array<long>. A vector with the query's own vec_id is no candidate.
+    vectors and queries: vec_id long (each once), v array<long>. A vector with the query's own vec_id is no candidate.
     Vectors of different lengths meet as if the shorter had zeros behind; equal vectors, however many, are
     split by count, not by place. Shards and blocks have a fixed greatest size, so a task's memory is
-    bounded; every block meets every shard. Empty tables give no rows.
+    bounded; every block meets every shard, so trees are sent once for each block. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     n, asked = vectors.count(), queries.count()
     shards = max(1, -(-n // shard_rows), min(spark.sparkContext.defaultParallelism, n // LEAST_SHARD))
     blocks = max(1, -(-asked // block_rows))
-    held = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)))
-    place = {"home": F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)), "block": F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks))}
+    held = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("long"))
+    trees = stage(held.groupBy("shard").applyInArrow(grown, "shard long, tree binary"), "op3-trees", "none")
+    trees = trees.withColumn("block", F.explode(F.sequence(*(F.lit(x).cast("long") for x in (0, blocks - 1)))))
+    place = {"home": F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)), "block": F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("long")}
     wanted = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), *(c.alias(n) for n, c in place.items()))
 
     def run(left, right):
         return search_shard(left, right, k)
 
-    at_home = wanted.select(F.col("home").alias("shard"), "query_id", "q", F.lit(None).cast("long").alias("floor"))
-    first = stage(held.groupBy("shard").cogroup(at_home.groupBy("shard")).applyInArrow(run, FOUND), "op3-home")
-    floors = best_of(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    left = held.withColumn("block", F.explode(F.sequence(*(F.lit(x).cast("long") for x in (0, blocks - 1)))))
-    others = wanted.join(floors, "query_id", "left").withColumn("shard", F.explode(F.sequence(*(F.lit(x).cast("long") for x in (0, shards - 1))))).where("shard <> home")
-    rest = left.groupBy("shard", "block").cogroup(others.select("shard", "block", "query_id", "q", "floor").groupBy("shard", "block")).applyInArrow(run, FOUND)
-    return best_of(first.unionByName(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    cuts = [0, 1, 1 + -(-(shards - 1) // 8), shards]  # home, an eighth of the others, the rest
+    found = spark.createDataFrame([], FOUND)
+    for first, last in zip(cuts, cuts[1:]):
+        if first < last:
+            floors = found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", "floor")
+            now = wanted.join(floors, "query_id", "left").withColumn("ahead", F.explode(F.sequence(*(F.lit(x).cast("long") for x in (first, last - 1)))))
+            now = now.select(F.pmod(F.col("home") + F.col("ahead"), F.lit(shards)).cast("long").alias("shard"), "block", "query_id", "q", "floor")
+            new = trees.groupBy("shard", "block").cogroup(now.groupBy("shard", "block")).applyInArrow(run, FOUND)
+            found = stage(best_of(found.unionByName(new), k).select("query_id", "vec_id", "score"), "op3-found")
+    return best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

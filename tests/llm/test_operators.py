@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -112,10 +113,10 @@ def test_packing(spark, library):
     for i, t in rows:
         want[-1 if i is None else i] += len(library.encode(t or "", add_special_tokens=False).ids) + 1
     assert pieces.assign(doc_id=pieces.doc_id.fillna(-1)).groupby("doc_id").length.sum().to_dict() == dict(want)
-    one = pieces[pieces.doc_id == 20].sort_values("start")
-    ids = np.array([*library.encode(texts()[20], add_special_tokens=False).ids, 2], "<u4")
-    for p in one.itertuples():
-        assert zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32
+    coded = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
+    for p in pieces.itertuples():  # doc_id 3 is there three times with one text
+        ids = coded[None if math.isnan(p.doc_id) else int(p.doc_id)]
+        assert zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 and p.doc_tokens == len(ids)
     assert curve_packing.pack(documents(spark, []), WORD).count() == 0
 
 
@@ -142,7 +143,12 @@ def test_deduplication(spark):
         ids = groups[r.text_sha256]
         assert r.group_size == len(ids) and r.keep_id == min((i for i in ids if i is not None), default=None)
     assert sum(r.kept for r in got) == len(groups)
-    assert merge_index.keep_first(documents(spark, rows)).count() == len(groups)
+    clashing = documents(spark, rows).withColumns({c: F.lit(i) for i, c in enumerate(("row", "id", "d", "keeper", "kept", "run", "__id", "gone", "w"))})
+    held = merge_index.keep_first(clashing)
+    assert held.columns == clashing.columns and held.count() == len(groups)
+    twice = spark.createDataFrame([(5, "a b", "y"), (5, "a  b", "x"), (5, "other", "z"), (6, "a b", "w")], "doc_id long, text string, more string")
+    assert sorted((r.doc_id, r.text, r.more) for r in merge_index.keep_first(twice).collect()) == [(5, "a  b", "x"), (5, "other", "z")]
+    assert merge_index.keep_first(documents(spark, [])).count() == 0
     assert merge_index.deduplicate(documents(spark, [])).count() == 0
 
 
@@ -238,6 +244,15 @@ def test_top_k(spark):
     for q in (i for i in fine if i % 50 == 0):
         ranked = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q)[:5]
         assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, -s) for s, i in ranked]
+    mixed = spark.createDataFrame([(i, v) for i, v in enumerate(rnd.normal(size=(60, 3)).tolist())] + [(60, [2.0**24, 0.0, 1.0]), (100, [-(2.0**25), 3.0, 0.5]), (101, [2.0**24, 0.0])], "vec_id long, embedding array<double>")
+    v = ball_tree.integer_vectors(mixed)
+    whole = {r.vec_id: r.v for r in v.collect()}
+    got = ball_tree.top_k(v, v.where("vec_id % 50 = 0"), 3, shard_rows=16).collect()
+    for q in (0, 50, 100):
+        ranked = sorted((-sum(a * b for a, b in zip(whole[q], x)), i) for i, x in whole.items() if i != q)[:3]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == ranked
+    two = ball_tree.integer_vectors(spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [3.0]), (1, [3.0])], "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, two.collect())) == [(0, [256]), (1, [768])]
     big = spark.createDataFrame([(0, [1e12, 1.0]), (1, [3e9, 2.0]), (2, [-4e9, 0.0])], "vec_id long, embedding array<double>")
     v = ball_tree.integer_vectors(big)
     assert [(r.vec_id, r.rank) for r in ball_tree.top_k(v, v.where("vec_id = 0"), 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
@@ -318,6 +333,31 @@ def test_rule_ensemble(spark):
     assert alone.weights == () and rule_ensemble.classify(docs, alone).first().score == pytest.approx(0.5)
 
 
+def test_statistics_and_compiled_rules_by_force(spark):
+    cases = [t or "" for t in texts()] + ["a a a b\nA B, C. 12!|", "\n\n", "ß é ½ x" * 9, "y" * 40_000 + " z"]
+    held = rule_ensemble.with_statistics(documents(spark, list(enumerate(cases))), "doc_id").orderBy("doc_id")
+    x = np.array([[r[f"q_{n}"] for n in rule_ensemble.NAMES] for r in held.collect()])
+
+    def force(t: str) -> list:
+        w, lines, n = [p for p in re.split("[\x20\x09-\x0d]+", t) if p], t.split("\n"), max(1, len(t))
+        share = lambda keep: sum(map(keep, t)) / n
+        return [
+            len(t), len(w), len(t) / max(1, len(w)), max(map(len, w), default=0), len(set(w)) / max(1, len(w)), sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w)), sum(len(p) <= 2 for p in w) / max(1, len(w)),
+            len(lines), len(set(lines)) / len(lines), len(t) / len(lines), share(lambda c: "A" <= c <= "Z"), share(lambda c: not (c.isalpha() or c.isnumeric() or c in " \t\n\r\x0b\x0c.,")), share(lambda c: c in "0123456789"),
+            *(share(lambda c, m=m: c == m) for m in ".,|!"),
+        ]
+
+    assert x == pytest.approx(np.array([force(t) for t in cases]), abs=1e-12)
+    y = (np.arange(len(x)) % 3 > 0).astype(float)
+    rules = rule_ensemble.grow(np.repeat(x, 5, axis=0), np.repeat(y, 5), trees=6)
+    weights = np.linspace(-1, 1, len(rules))
+    model = rule_ensemble.RuleModel(0.25, tuple(zip(rules, weights.tolist(), strict=True)))
+    want = 1 / (1 + np.exp(-(0.25 + np.stack([r.holds(x) for r in rules], axis=1) @ weights)))
+    assert len(rules) > 10 and [r.s for r in held.select(model.score().alias("s")).collect()] == pytest.approx(want.tolist())
+    empty = documents(spark, [])
+    assert rule_ensemble.classify(empty, model).count() == 0 and rule_ensemble.fit(empty, spark.createDataFrame([], "doc_id long, quality int")).weights == ()
+
+
 # ---- 9
 
 
@@ -391,6 +431,53 @@ def test_quotation_links(spark):
     assert quote_links.in_reply_order(quote_links.link(df.where("false"))).count() == 0
 
 
+def linked_by_force(rows) -> dict:
+    """(conv_id, turn) -> (reply_to, thread, depth, n_quotes, n_linked, body) of unique turns, line by line."""
+    said, parsed = {}, {}
+    for c, t, _, text in rows:
+        runs = []
+        for line in re.split("\r?\n", text or ""):
+            marks = re.match(r"(?:[ \t]*>)+", line)
+            depth, rest = (marks[0].count(">"), re.sub("^ ", "", line[marks.end() :])) if marks else (0, line)
+            blank = not rest.strip(" ")
+            if not runs or runs[-1][0] != depth or blank or runs[-1][2]:
+                runs.append([depth, [], blank])
+            runs[-1][1].append(rest)
+        parts = [(d, re.sub(r"\s+", " ", "\n".join(x).lower()).strip(" ")) for d, x, _ in runs if "\n".join(x).strip(" ")]
+        body = "\n".join(x for x in re.split("\r?\n", text or "") if not re.match(r"(?:[ \t]*>)+", x))
+        parsed[c, t] = parts, re.sub(r"^\s+|\s+$", "", body)
+        for d, p in parts:
+            if d == 0:
+                said.setdefault((c, p), []).append(t)
+    out = {}
+    for c, t in sorted(parsed):
+        parts, body = parsed[c, t]
+        found = [(-d, min(said[c, p])) for d, p in parts if d and (c, p) in said and min(said[c, p]) < t]
+        reply = max(found)[1] if found else None
+        _, thread, depth, *_ = out.get((c, reply), (None, t, -1))
+        out[c, t] = reply, thread if found else t, depth + 1 if found else 0, sum(d > 0 for d, _ in parts), len(found), body
+    return out
+
+
+def test_quotation_links_by_force(spark):
+    rnd, rows = random.Random(8), []
+    for c in range(12):
+        before = []
+        for t in range(rnd.randint(1, 9)):
+            lines = [words(1000 * c + 10 * t + i, rnd.randint(1, 4)) for i in range(rnd.randint(1, 3))]
+            quoted = []
+            for m in rnd.sample(before, min(len(before), rnd.randint(0, 2))):
+                quoted += [f"> {x}" if rnd.random() < 0.8 else f">{x.upper()}  " for x in m]
+            text = quoted + ([""] if rnd.random() < 0.5 else []) + lines
+            rows.append((c, t, "r", "\n".join(text) if rnd.random() < 0.95 else None))
+            before.append(text)
+    rows.append((99, 0, "r", "\n".join(words(i, 3) for i in range(3000))))
+    rows.append((99, 1, "r", "\n".join("> " + words(i, 3) for i in range(3000)) + "\nend"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.reply_depth, r.n_quotes, r.n_linked, r.body) for r in quote_links.link(df).collect()}
+    assert got == linked_by_force(rows)
+
+
 def test_quoted_mail_is_unquoted_again(spark):
     rows = [(c, t, "r", f"line {c} {t}\nmore of {t} in {c}") for c in range(3) for t in range(5)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
