@@ -434,7 +434,7 @@ def component_sizes(spark, sf):
     return held.withColumn("mean_count", F.round("mean_count", 6)).withColumn("sd_count", F.round("sd_count", 6))
 
 
-@query(f"""{walk_sql(NOISY, 24)}, c AS (SELECT segs.head, segs.s, segs.t, first_count, last_count, a.n_out > 1 AS begins, b.n_in > 1 OR b.n_out > 0 AS ends FROM segs JOIN d a ON a.node = s JOIN d b ON b.node = t WHERE a.n_in = 0 AND length <= 48),
+@query(f"""{walk_sql(NOISY, 24)}, c AS MATERIALIZED (SELECT segs.head, segs.s, segs.t, first_count, last_count, a.n_out > 1 AS begins, b.n_in > 1 OR b.n_out > 0 AS ends FROM segs JOIN d a ON a.node = s JOIN d b ON b.node = t WHERE a.n_in = 0 AND length <= 48),
 v AS MATERIALIZED (SELECT s, min(count) AS least FROM g GROUP BY s), o AS MATERIALIZED (SELECT head, CASE WHEN ends THEN {rc("t")} ELSE s END AS joint, CASE WHEN ends THEN last_count ELSE first_count END AS c FROM c WHERE begins <> ends),
 {without_sql("SELECT head FROM o JOIN v ON v.s = joint WHERE least >= c")}""")
 def prune_tips(spark, sf):
