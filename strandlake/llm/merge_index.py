@@ -58,8 +58,12 @@ def merge_index(runs: DataFrame, fan_in: int = FAN_IN) -> tuple[DataFrame, int]:
 
 
 def unequal_hits(docs: DataFrame, hit) -> DataFrame:
-    """digest of hits whose texts are not all the same bytes: a digest's least and greatest text, combined before the shuffle, differ."""
-    texts = docs.select(normalised().alias("norm")).select("norm", digest_of(F.col("norm")).alias("digest")).where(hit(F.col("digest")))
+    """digest of hits whose texts are not all the same bytes: a digest's least and greatest text, combined before the shuffle, differ.
+
+    The row number keeps the filter above the digest: pushed below, it would compute it for each of its places.
+    """
+    texts = docs.select(normalised().alias("norm")).select("norm", digest_of(F.col("norm")).alias("digest"), F.monotonically_increasing_id().alias("at"))
+    texts = texts.where(hit(F.col("digest")) & (F.col("at") >= 0))
     ends = texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("z"))
     return ends.where("a <> z").select("digest")
 
