@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.seq import entropy0
-from strandlake.operators.compact import segments
+from strandlake.operators.compact import positions, segments
 from strandlake.operators.components import tied
-from strandlake.operators.supergraph import align_reads, best_links, edge_index, read_links, superpaths, thread
+from strandlake.operators.supergraph import align_reads, best_links, chain, edge_index, read_links, superpaths, thread
 from strandlake.sources.staging import staged
 
 
@@ -19,9 +19,10 @@ def assemble(edges: DataFrame, reads: DataFrame, k: int, min_length: int = 0, se
     one to the next and these are no less than ``weld`` of either's coverage; mutually best welds form
     transcripts, all welds components. A read counts for the transcripts it shares most windows with.
     """
-    paths = superpaths(segments(edges), k)
+    placed = positions(edges)
+    paths = superpaths(segments(edges, placed), k)
     paths = staged(paths.where((F.col("mean") >= seed_coverage) & (entropy0("seq") >= seed_entropy)), "seeds")
-    aligned = staged(align_reads(reads, edge_index(edges), k).join(paths.select("path"), "path", "left_semi"), "aligned")
+    aligned = staged(align_reads(reads, edge_index(edges, placed), k).join(paths.select("path"), "path", "left_semi"), "aligned")
     means = paths.select("path", "mean")
     welds = read_links(aligned, paths.select("path")).where(F.col("n") >= least)
     welds = welds.join(means.select(F.col("path").alias("lhs"), F.col("mean").alias("ml")), "lhs").join(means.select(F.col("path").alias("rhs"), F.col("mean").alias("mr")), "rhs")
@@ -30,8 +31,6 @@ def assemble(edges: DataFrame, reads: DataFrame, k: int, min_length: int = 0, se
     joins = near.select("lhs", "rhs", "gap", F.when(F.col("e") == F.col("s"), F.expr("cast(array() as array<string>)")).alias("via"))
     made = staged(thread(paths, joins, k), "transcripts")
     welded = tied(welds.select(F.greatest("lhs", "rhs").alias("a"), F.least("lhs", "rhs").alias("b")))
-    from strandlake.operators.supergraph import chain
-
     place = chain(joins.select("lhs", "rhs"))
     home = paths.select("path").join(place, "path", "left").select("path", F.coalesce("root", "path").alias("transcript"))
     shared = aligned.join(home, "path").groupBy("read_id", "transcript").agg(F.count("*").alias("n"))
