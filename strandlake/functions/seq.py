@@ -102,6 +102,20 @@ def log_add(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
+def log_sub(a: Column, b: Column) -> Column:
+    """log(exp(a) - exp(b)) without overflow; null where b is larger."""
+    return F.when(a == b, F.lit(float("-inf"))).when(a > b, a + F.log1p(-F.exp(b - a)))
+
+
+def log_binomial_at_least(n: str, m: str, p: float) -> Column:
+    """log P(X >= m) for X binomial (n, p) with 0 < p < 1: the terms from the m-th on are added as logarithms, n steps in all."""
+    first = f"(aggregate(sequence(1, {m}), {m} * ln({p}D) + ({n} - {m}) * ln({1 - p}D), (s, j) -> s + ln(({n} - {m} + j) / j)))"
+    term = f"x.t + ln(({n} - i) / (i + 1)) + ln({p / (1 - p)}D)"
+    added = f"greatest(x.s, {term}) + log1p(exp(-abs(x.s - ({term}))))"
+    tail = f"aggregate(sequence({m}, {n} - 1), named_struct('t', {first}, 's', {first}), (x, i) -> named_struct('t', {term}, 's', {added}), x -> x.s)"
+    return F.expr(f"case when {m} <= 0 then 0D when {m} > {n} then double('-Infinity') when {m} = {n} then {n} * ln({p}D) else least(0D, {tail}) end")
+
+
 def uniqueness(size: Column, mean: Column, rho: Column, k: int) -> Column:
     """The A-statistic test of a path of ``size`` edges with mean coverage ``mean`` where ``rho`` is expected."""
     score = F.lit(0.6931471805599453) / 2 + size / (2 * rho) * (rho * rho - mean * mean / 2)

@@ -39,6 +39,11 @@ def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "kmer", "left_anti")
 
 
+def with_prefix(kmer_set: DataFrame, prefixes: DataFrame, length: int) -> DataFrame:
+    """The k-mers that begin with one of the prefixes, all of that length. prefixes: prefix, repeated or not."""
+    return kmer_set.join(prefixes.select("prefix"), F.substring("kmer", 1, length) == F.col("prefix"), "left_semi")
+
+
 def annotate(left: DataFrame, right: DataFrame) -> DataFrame:
     """kmer, in_lhs, in_rhs over the union."""
     both = left.select("kmer", F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(right.select("kmer", F.lit(False).alias("l"), F.lit(True).alias("r")))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.seq import canonical, kmers
+from strandlake.functions.seq import canonical, kmers, log_binomial_at_least
 from strandlake.sources.staging import staged
 
 
@@ -83,3 +83,19 @@ def abundance(hits: DataFrame, lengths: DataFrame, rounds: int = 20) -> DataFram
             share = staged(share, "em-share")
     reads = held.select("read_id").distinct().count()
     return share.join(lengths, "gene").select("gene", F.col("p").alias("count"), (F.col("p") * 1e9 / (F.col("length") * F.lit(max(1, reads)))).alias("fpkm"))
+
+
+def families(hits: DataFrame, lengths: DataFrame, error: float = 0.01, within: float = 5.0, most: float = 100.0) -> DataFrame:
+    """read_id, gene, score: the genes that explain a read about as well as its best one, in nats.
+
+    A gene's score is -log P(X >= missing) for X binomial over its windows with the error rate, where missing
+    counts the windows that the read lacks. Genes with more than ``most`` nats, or ``within`` more than the
+    read's best, are left out. Scores are found once for each length and number missing.
+    hits: read_id, gene, n (shared k-mers); lengths: gene, length (windows).
+    """
+    missing = F.greatest(F.lit(0), F.col("length") - F.col("n")).cast("long").alias("missing")
+    held = staged(hits.join(lengths, "gene").select("read_id", "gene", F.col("length").cast("long").alias("length"), missing), "family-hits")
+    scores = held.select("length", "missing").distinct().withColumn("score", 0.0 - log_binomial_at_least("length", "missing", error))
+    scored = held.join(scores.where(F.col("score") <= most), ["length", "missing"])
+    best = F.min("score").over(Window.partitionBy("read_id"))
+    return scored.withColumn("best", best).where(F.col("score") <= F.col("best") + within).select("read_id", "gene", "score")

@@ -460,12 +460,27 @@ def pop_bubbles(spark, sf):
     return clean.pop_bubbles(_noisy(spark, sf), 24)
 
 
-@query()
-def abundance(spark, sf):
+def _gene_hits(spark, sf):
+    """(genes, their distinct k-mers, k-mers that reads share with them)."""
     genes = reads_of(spark, sf, *BENCH)
     index = S.kmers(genes, 20, keep=("read_id",)).select(F.col("read_id").alias("gene"), S.canonical("kmer").alias("kmer")).distinct()
-    found = S.kmers(reads_of(spark, sf), 20, keep=("read_id",)).select("read_id", S.canonical("kmer").alias("kmer")).distinct()
-    hits = found.join(index, "kmer").groupBy("read_id", "gene").agg(F.count("*").alias("n"))
+    found = S.kmers(reads_of(spark, sf), 20, keep=("read_id",)).select("read_id", S.canonical("kmer").alias("kmer"))
+    return genes, index, found.join(index, "kmer").groupBy("read_id", "gene").agg(F.countDistinct("kmer").alias("n"))
+
+
+@query(f"""WITH i AS MATERIALIZED (SELECT DISTINCT read_id AS gene, kmer FROM ({canon_sql(20, *BENCH)})), l AS (SELECT gene, count(*) AS l FROM i GROUP BY 1),
+h AS (SELECT read_id, gene, l, l - count(DISTINCT kmer) AS m FROM ({canon_sql(20)}) JOIN i USING (kmer) JOIN l USING (gene) GROUP BY 1, 2, 3),
+s AS (SELECT read_id, gene, -ln(greatest(1e-300, list_sum([exp(lgamma(l + 1) - lgamma(j + 1) - lgamma(l - j + 1) + j * ln(0.01) + (l - j) * ln(0.99)) FOR j IN range(m, l + 1)]))) AS score FROM h)
+SELECT read_id, gene, round(score, 6) + 0.0 AS score FROM (SELECT *, min(score) OVER (PARTITION BY read_id) AS best FROM s WHERE score <= 100) WHERE score <= best + 5""")
+def gene_families(spark, sf):
+    _, index, hits = _gene_hits(spark, sf)
+    held = spectrum.families(hits, index.groupBy("gene").agg(F.count("*").alias("length")))
+    return held.withColumn("score", F.round("score", 6) + 0.0)
+
+
+@query()
+def abundance(spark, sf):
+    genes, _, hits = _gene_hits(spark, sf)
     return spectrum.abundance(hits, genes.select(F.col("read_id").alias("gene"), F.length("seq").alias("length")), 10)
 
 
@@ -507,6 +522,19 @@ def dot_graph(spark, sf):
     return sources.dot_text(_graph(spark, sf, BENCH), K)
 
 
+@query(f"""{walk_sql(NOISY, 24)}, i AS (SELECT *, row_number() OVER (ORDER BY head) - 1 AS id FROM segs)
+SELECT 'digraph {{' AS value UNION ALL SELECT '}}' UNION ALL SELECT chr(9) || n || ' [shape="point", label="" fontcolor="black"color="black"];' FROM (SELECT s AS n FROM segs UNION SELECT t FROM segs)
+UNION ALL SELECT chr(9) || s || ' -> ' || t || ' [label=" ' || id || '" fontcolor="black"color="black"];' FROM i""")
+def dot_supergraph(spark, sf):
+    return sources.superdot_text(staged(compact.segments(_noisy(spark, sf)), "segments"), 24)
+
+
+@query(f"SELECT kmer FROM ({set_sql(25)}) WHERE left(kmer, 8) IN (SELECT left(kmer, 8) FROM ({set_sql(25, *BENCH)}))")
+def kmers_with_prefix(spark, sf):
+    prefixes = kmerset.build(reads_of(spark, sf, *BENCH), 25).select(F.substring("kmer", 1, 8).alias("prefix"))
+    return kmerset.with_prefix(kmerset.build(reads_of(spark, sf), 25), prefixes, 8)
+
+
 @query(f"SELECT edge || chr(9) || count AS value FROM ({graph_sql(K, *BENCH)})")
 def graph_dump(spark, sf):
     return sources.graph_text(_graph(spark, sf, BENCH))

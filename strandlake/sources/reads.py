@@ -227,3 +227,18 @@ def dot_text(edges: DataFrame, k: int, scale: str = "const", show_counts: bool =
     label = F.concat(F.lit(' label="'), F.col("count").cast("string"), F.lit('"')) if show_counts else F.lit("")
     name = (lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))) if label_nodes else (lambda c: F.concat(F.lit("n"), F.crc32(F.col(c).cast("binary")).cast("string")))
     return held.select(F.concat(name("src"), F.lit(" -> "), name("dst"), F.lit(" [penwidth="), F.format_number(width, 3), label, F.lit("];")).alias("value"))
+
+
+def superdot_text(segs: DataFrame, k: int, colour: str = "black", shape: str = "point", label_nodes: bool = False, label_edges: bool = True) -> DataFrame:
+    """value: a GraphViz digraph of unbranched paths, in order: the nodes where they begin and end, then each path with its id, the rank of its first edge."""
+    from strandlake.operators.compact import rank_of
+
+    held = segs.select("head", F.expr(f"left(head, {k})").alias("src"), F.expr(f"right(last, {k})").alias("dst"))
+    held = held.join(rank_of(held, "head").withColumnRenamed("id", "at"), "head")
+    drawn = F.lit(f'" fontcolor="{colour}"color="{colour}"];')
+    nodes = held.select(F.explode(F.array("src", "dst")).alias("name")).distinct().select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), "name")
+    nodes = nodes.withColumn("value", F.concat(F.lit("\t"), "name", F.lit(f' [shape="{shape}", label="'), F.concat(F.lit(" "), F.col("name")) if label_nodes else F.lit(""), drawn))
+    label = F.concat(F.lit(" "), F.col("at").cast("string")) if label_edges else F.lit("")
+    paths = held.select(F.lit(2).alias("part"), "at", F.lit("").alias("name"), F.concat(F.lit("\t"), "src", F.lit(" -> "), "dst", F.lit(' [label="'), label, drawn).alias("value"))
+    frame = segs.sparkSession.createDataFrame([(0, 0, "", "digraph {"), (3, 0, "", "}")], "part int, at long, name string, value string")
+    return frame.unionByName(nodes).unionByName(paths).orderBy("part", "at", "name").select("value")

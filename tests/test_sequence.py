@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
 from strandlake.functions import stats
@@ -391,3 +392,56 @@ def test_entry_works_without_the_corpus_operators():
         if "llm" not in path.parts:
             assert "strandlake.llm" not in path.read_text(), path
     assert {f.name for f in ast.parse((top / "__spark_entry__.py").read_text()).body if isinstance(f, ast.FunctionDef)} >= {"entry", "queries", "oracle_sql"}
+
+
+def test_logarithms_of_tails_and_differences(spark):
+    cases = [(n, m) for n in (1, 5, 40, 700) for m in (0, 1, 3, n // 2, n, n + 1)]
+    df = spark.createDataFrame(cases, "n int, m int")
+    for p in (0.01, 0.6):
+        for r in df.select("n", "m", S.log_binomial_at_least("n", "m", p).alias("x")).collect():
+            assert r.x == pytest.approx(stats.log_binomial_tail(r.n, r.m, p), abs=1e-9)
+    row = spark.createDataFrame([(3.0, 1.0)], "a double, b double").select(S.log_sub(F.col("a"), F.col("b")), S.log_sub(F.col("a"), F.col("a")), S.log_sub(F.col("b"), F.col("a"))).first()
+    assert row[0] == pytest.approx(math.log(math.exp(3) - math.exp(1))) and row[1] == -math.inf and row[2] is None
+
+
+def test_families_keep_genes_near_the_best(spark):
+    lengths = {"a": 50, "b": 50, "c": 50, "d": 5000}
+    found = {(1, "a"): 50, (1, "b"): 49, (1, "c"): 40, (2, "c"): 10, (3, "d"): 1}
+    hits = spark.createDataFrame([(r, g, n) for (r, g), n in found.items()], "read_id long, gene string, n long")
+    held = {(r.read_id, r.gene): r.score for r in spectrum.families(hits, spark.createDataFrame(list(lengths.items()), "gene string, length long")).collect()}
+    score = {k: -stats.log_binomial_tail(lengths[k[1]], lengths[k[1]] - n, 0.01) for k, n in found.items()}
+    best = {r: min(s for (q, _), s in score.items() if q == r) for r in (1, 2, 3)}
+    expected = {k: s for k, s in score.items() if s <= 100 and s <= best[k[0]] + 5}
+    assert held == pytest.approx(expected, abs=1e-9) and (1, "c") not in held and (3, "d") not in held and (1, "b") in held
+
+
+def test_best_prefix_aligns_the_whole_path(spark):
+    rows = [("ACGTACGTTT", "ACGTACG", 7), ("ACGTTACGAA", "ACGTACG", 8), ("ACGACGAA", "ACGTACG", 6), ("TTTT", "ACGA", 0), ("acgt", "ACGT", 4), (None, "A", None), ("", "A", 0), ("ACG", "", 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, n long")
+    for r in df.withColumn("x", correct.match_length("a", "b")).collect():
+        assert r.x == r.n, r
+
+
+def test_scaffolds_join_overlapping_ends(spark):
+    whole = dna(90, 300)
+    other = dna(91, 120)
+    rows = [("p", whole[:160]), ("q", whole[130:]), ("r", other)]
+    paths = spark.createDataFrame(rows, "path string, seq string")
+    links = spark.createDataFrame([("p", "q", 20, -25.0), ("q", "r", 20, -5.0)], "lhs string, rhs string, n long, gap double")
+    assert [(r.lhs, r.rhs, r.overlap) for r in supergraph.end_overlaps(paths, links).collect()] == [("p", "q", 30)]
+    (made,) = supergraph.scaffold(paths, links, 10).collect()
+    assert made.seq == whole + "N" + other and made.n_paths == 3
+
+
+def test_prefixes_and_the_drawing_of_paths(spark):
+    seqs = [dna(5, 60), dna(6, 60)]
+    held = kmerset.build(table(spark, *seqs), 11)
+    prefixes = spark.createDataFrame([("ACG",), ("ACG",), ("TTT",)], "prefix string")
+    assert sorted(r.kmer for r in kmerset.with_prefix(held, prefixes, 3).collect()) == sorted(r.kmer for r in held.collect() if r.kmer[:3] in ("ACG", "TTT"))
+    segs = compact.segments(graph.build(table(spark, *seqs), 11))
+    heads = sorted((r.head, r.last) for r in segs.collect())
+    lines = [r.value for r in R.superdot_text(segs, 11).collect()]
+    nodes = sorted({x for h, last in heads for x in (h[:11], last[-11:])})
+    drawn = '" fontcolor="black"color="black"];'
+    expected = ["digraph {", *(f'\t{n} [shape="point", label="{drawn}' for n in nodes), *(f'\t{h[:11]} -> {last[-11:]} [label=" {i}{drawn}' for i, (h, last) in enumerate(heads)), "}"]
+    assert lines == expected
