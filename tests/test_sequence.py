@@ -445,3 +445,13 @@ def test_prefixes_and_the_drawing_of_paths(spark):
     drawn = '" fontcolor="black"color="black"];'
     expected = ["digraph {", *(f'\t{n} [shape="point", label="{drawn}' for n in nodes), *(f'\t{h[:11]} -> {last[-11:]} [label=" {i}{drawn}' for i, (h, last) in enumerate(heads)), "}"]
     assert lines == expected
+
+
+def test_assembly_with_mates_gives_the_whole(spark):
+    from strandlake.plans.assembly import assemble
+
+    whole, k = dna(77, 260), 13
+    reads = table(spark, *[whole[i : i + 60] for i in range(0, 201, 4)])
+    mates = spark.createDataFrame([(i, whole[i : i + 30], rc(whole[i + 90 : i + 120])) for i in range(0, 140, 5)], "pair_id long, s1 string, s2 string")
+    (made,) = assemble(reads, k, cutoff=1, tips=2, min_links=3, mates=mates, insert=120).collect()
+    assert made.seq in (whole[:256], rc(whole[:256]))  # one read alone has the last four bases
