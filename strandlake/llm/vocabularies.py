@@ -15,3 +15,14 @@ def WORD_BPE() -> str:  # noqa: N802
 
 def BYTE_BPE() -> str:  # noqa: N802
     return _path("byte_bpe_50k.tiktoken")
+
+
+def BYTE_BPE_MULTI() -> str:  # noqa: N802
+    return _path("byte_bpe_multi_50k.tiktoken")
+
+
+def BYTE_PATTERN() -> str:  # noqa: N802
+    """The pattern that splits text before the merges of the rank files."""
+    import public_tokenizers
+
+    return str(public_tokenizers.PATTERN)
