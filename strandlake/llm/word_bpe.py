@@ -48,6 +48,30 @@ def flatten(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data as one number, zeros behind the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+
+
+#: Keeps so many low bytes of a number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray, b_lengths: np.ndarray, by_eights: int = 8) -> np.ndarray:
+    """Whether each string of a has the length and the bytes of its partner in b. Long strings are compared one by one."""
+    same = lengths == b_lengths
+    left, right = eight_bytes(a), eight_bytes(b)
+    for k in range(by_eights):
+        at = np.flatnonzero(same & (lengths > 8 * k))
+        if not len(at):
+            break
+        same[at] = (left[a_starts[at] + 8 * k] ^ right[b_starts[at] + 8 * k]) & LOW_BYTES[np.minimum(lengths[at] - 8 * k, 8)] == 0
+    for i in np.flatnonzero(same & (lengths > 8 * by_eights)).tolist():
+        n = lengths[i]
+        same[i] = a[a_starts[i] : a_starts[i] + n].tobytes() == b[b_starts[i] : b_starts[i] + n].tobytes()
+    return same
+
+
 class Encoded:
     """A batch of encoded texts: ids of text i are ids[bounds[i]:bounds[i + 1]]."""
 
@@ -96,6 +120,7 @@ class WordBpe:
         self.known = np.zeros(0, dtype=np.uint64)
         self.known_start, self.known_count = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
         self.known_ids = np.zeros(0, dtype=np.uint32)
+        self.known_data, self.known_at, self.known_length = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.token_bytes = [self.tokens.get(i, "").encode() for i in range(self.size)]
         self.shown = np.frombuffer(b"".join(t + b" " for t in self.token_bytes), dtype=np.uint8)
         self.shown_lengths = np.array([len(t) + 1 for t in self.token_bytes], dtype=np.int64)
@@ -212,7 +237,8 @@ class WordBpe:
         """Encodes the whole texts of an Arrow column; null counts as empty.
 
         Tokens never cross white space, so the chunks between are encoded once each. Known chunks
-        are kept by their hash, up to a bound, for the batches to come.
+        are kept by their hash, up to a bound, for the batches to come. A hash only proposes an equal chunk:
+        bytes decide, and chunks that share a hash with other bytes are encoded on their own.
         """
         column = column.cast(pa.large_string()).fill_null("")
         bounds = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -221,10 +247,23 @@ class WordBpe:
         codes, distinct = pd.factorize(hashes)
         first = np.empty(len(distinct), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        old = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), dtype=bool)
-        begin, count = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
-        begin[old], count[old] = self.known_start[at[old]], self.known_count[at[old]]
+        like = first[codes]
+        others = np.flatnonzero(~same_bytes(data, starts, data, starts[like], lengths, lengths[like]))
+        alone = Words()  # chunks whose hash another one of the batch has
+        codes[others] = [len(distinct) + alone[data[starts[i] : starts[i] + lengths[i]].tobytes()] for i in others.tolist()]
+        first = np.concatenate([first, np.zeros(len(alone), dtype=np.int64)])
+        first[codes[others[::-1]]] = others[::-1]
+        old = np.zeros(len(first), dtype=bool)
+        begin, count = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64)
+        taken = np.zeros(len(first), dtype=bool)  # hashes that can't be kept for this chunk
+        taken[len(distinct) :] = True
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+            hit = np.flatnonzero(self.known[at] == distinct)
+            taken[hit] = True
+            hit = hit[same_bytes(data, starts[first[hit]], self.known_data, self.known_at[at[hit]], lengths[first[hit]], self.known_length[at[hit]])]
+            old[hit] = True
+            begin[hit], count[hit] = self.known_start[at[hit]], self.known_count[at[hit]]
         fresh = np.flatnonzero(~old)
         raw = data.tobytes()
         new_ids, new_count = self._encode_chunks([raw[a : a + n].decode(errors="replace") for a, n in zip(starts[first[fresh]].tolist(), lengths[first[fresh]].tolist(), strict=True)])
@@ -233,11 +272,16 @@ class WordBpe:
         ids = pool[flatten(count[codes], begin[codes])]
         total = np.concatenate([[0], np.cumsum(count[codes])])
         if len(self.known) + len(fresh) <= self.most_known and len(pool) <= 8 * self.most_known:
-            keys = np.concatenate([self.known, distinct[fresh]])
+            keep = fresh[~taken[fresh]]
+            at, size = starts[first[keep]], lengths[first[keep]]
+            keys = np.concatenate([self.known, distinct[keep]])
             order = np.argsort(keys, kind="stable")
             self.known, self.known_ids = keys[order], pool
-            self.known_start = np.concatenate([self.known_start, begin[fresh].astype(np.int32)])[order]
-            self.known_count = np.concatenate([self.known_count, new_count.astype(np.int32)])[order]
+            self.known_start = np.concatenate([self.known_start, begin[keep].astype(np.int32)])[order]
+            self.known_count = np.concatenate([self.known_count, count[keep].astype(np.int32)])[order]
+            self.known_at = np.concatenate([self.known_at, len(self.known_data) + np.cumsum(size) - size])[order]
+            self.known_length = np.concatenate([self.known_length, size])[order]
+            self.known_data = np.concatenate([self.known_data, data[flatten(size, at)]])
         return Encoded(ids, total[np.concatenate([[0], np.cumsum(per_text)])])
 
     def encode_batch(self, texts: list[str | None]) -> Encoded:
