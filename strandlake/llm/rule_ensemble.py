@@ -140,21 +140,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """Fits the rules on at most max_rows labelled rows outside the held-out fold.
 
     Rows without a label, or of documents that are absent, are passed over; repeated labels of one
-    document are averaged. With one label only, or none, the score is the smoothed share of label 1.
+    document are averaged, and of rows that share a doc_id the least text counts, so at most max_rows rows
+    come to the driver. With one label only, or none, or labelled texts that no statistic tells apart (or
+    fewer than ten), the score is the smoothed share of label 1.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (id_bucket("doc_id", 5) != 0))
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    held = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "y")  # bounded by max_rows
-    data = held.toPandas()
+    labelled = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")  # the sample has max_rows rows at most
+    held = with_statistics(labelled.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "y")
+    data = held.toPandas()  # a row a doc_id of the sample
     y = data["y"].to_numpy(dtype=np.float64)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    without_rules = RuleModel(float(np.log(share / (1 - share))), ())
     if len(set(y.tolist())) < 2:
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return RuleModel(float(np.log(share / (1 - share))), ())
+        return without_rules
     x = data[[f"q_{n}" for n in NAMES]].to_numpy(dtype=np.float64)
     order = np.lexsort((*x.T, y))  # the order in which tasks finish is of no matter
     x, y = x[order], y[order]
     rules = grow(x, y)
+    if not rules:
+        return without_rules
     bias, weights = lasso(np.stack([r.holds(x) for r in rules], axis=1).astype(np.float64), y)
     return RuleModel(bias, tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if w))
 
@@ -172,7 +178,7 @@ def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
     The row number keeps the filter above the statistics: pushed below, it would compute each of them
     again in every rule that names it.
     """
-    held = with_statistics(docs.select(F.struct(*docs.columns).alias("__row"), "text"), "__row").withColumn("__at", F.monotonically_increasing_id())
+    held = with_statistics(docs.select(F.struct("*").alias("__row"), "text"), "__row").withColumn("__at", F.monotonically_increasing_id())
     return held.where((model.score() >= CUT) & (F.col("__at") >= 0)).select("__row.*")
 
 

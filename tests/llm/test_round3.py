@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import xxhash  # noqa: E402
-from strandlake.llm import importance, merkle_manifest, rank_queue  # noqa: E402
-from tests.llm.test_operators import documents, texts, words  # noqa: E402
+from strandlake.llm import importance, merkle_manifest, rank_queue, rule_ensemble, word_bpe  # noqa: E402
+from tests.llm.test_operators import WORD, documents, texts, words  # noqa: E402
 
 MULTI, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 ODD = ["don't  we'LL x", "ÀÉ Σίσυφος İstanbul ﬁ ½² ٣٤", "a\x1cb\x85c　d \n\n\t x", "<|endoftext|>", "the" * 3000, "中文字 🙂🙂👩‍👩‍👧", "   ", "a" * 5000, "\x00\x7f", "=" * 999 + "ab" * 700]
@@ -256,3 +256,47 @@ def test_vectorised_hash_is_xxh64():
     lanes = np.stack([np.frombuffer(x.ljust(32, b"\0"), "<u8") for x in held])
     got = importance.xxh64_short(lanes, np.array([len(x) for x in held]))
     assert got.tolist() == [xxhash.xxh64_intdigest(x) for x in held]
+
+
+# ---- 4 and 5
+
+
+def test_chunks_of_equal_hashes_are_encoded_each(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD)
+    pairs = [("qogbokmrsk", "lkkfevrarw"), ("ufyydzegym", "xztvvcmzxq"), ("vlphlwgnuf", "kobdwdywhd")]
+    for a, b in pairs:
+        hashes = word_bpe.split_chunks(np.frombuffer(f"{a} {b}".encode(), np.uint8), np.array([0, 21]))[2]
+        assert hashes[0] == hashes[1]
+    together = [" ".join(x for p in pairs for x in (*p, *p)), "plain words"]
+    apart = [[a for a, _ in pairs], [b for _, b in pairs], [b for _, b in pairs], [a for a, _ in pairs], together]
+    many = [[t or "" for t in texts()], [words(3, 200), "x" * 70 + "a " + "x" * 70 + "b", "x" * 49 + "a " + "x" * 49 + "b"]]
+    for same in (False, True):
+        if same:  # hashes of two kinds only
+            split = word_bpe.split_chunks
+            monkeypatch.setattr(word_bpe, "split_chunks", lambda data, bounds: (lambda s, n, h, p: (s, n, h % np.uint64(2), p))(*split(data, bounds)))
+        for batches in ([together], apart, apart[::-1], many + many):
+            bpe = word_bpe.WordBpe(WORD)
+            for cases in batches:
+                e = bpe.encode_batch(cases)
+                assert [e.of(i).tolist() for i in range(len(cases))] == [library.encode(t, add_special_tokens=False).ids for t in cases]
+
+
+def test_quality_of_few_and_of_equal_labelled_texts(spark):
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {i}", 1) for i in range(7)] + [(None, None, 1)], "doc_id long, text string, `a.b` int")
+    model = rule_ensemble.fit(docs, labels([(i, i % 2) for i in range(7)]))
+    assert not model.weights and len({r.score for r in rule_ensemble.classify(docs, model).collect()}) == 1
+    assert rule_ensemble.keep_good(docs, model).columns == docs.columns and rule_ensemble.keep_good(docs, model).count() in (0, 8)
+    equal = spark.createDataFrame([(i, "the same text") for i in range(60)], "doc_id long, text string")
+    assert not rule_ensemble.fit(equal, labels([(i, i % 2) for i in range(60)])).weights
+    many = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text")).unionByName(equal)
+    seen, kind = [], type(many)
+    held = kind.toPandas
+    try:
+        kind.toPandas = lambda self: (seen.append(len(out := held(self))), out)[1]
+        rule_ensemble.fit(many, labels([(i, i % 2) for i in range(60)]), max_rows=40)
+    finally:
+        kind.toPandas = held
+    assert seen and seen[0] <= 40
