@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
-from strandlake.operators import classify, clean, compact, correct, graph, kmerset, spectrum, supergraph, transcripts
+from strandlake.operators import classify, clean, compact, correct, graph, kmerset, scaffold, spectrum, supergraph, transcripts, walks
 from strandlake.plans import assembly
 from strandlake.sources import reads as sources
 from strandlake.sources.staging import staged
@@ -452,7 +452,20 @@ def clip_links(spark, sf):
     return clean.clip_links(_noisy(spark, sf), 24)
 
 
-# ---- below: no SQL; checked against goldens and brute force in the tests
+@query(f"""{walk_sql(NOISY, 24)}, l AS MATERIALIZED (SELECT a.head AS lhs, b.head AS rhs, a.t AS node, b.s AS goal, max(m.length) + 24 AS hi FROM segs a JOIN segs m ON m.s = a.t JOIN segs b ON b.s = m.t WHERE m.length <= 200 GROUP BY ALL),
+v AS (SELECT lhs, rhs, goal, hi, node, 0::BIGINT AS found, []::VARCHAR[] AS via FROM l UNION ALL SELECT lhs, rhs, goal, hi, segs.t, found + length, list_append(via, head) FROM v JOIN segs ON segs.s = node WHERE found + length <= hi),
+r AS (SELECT *, row_number() OVER (PARTITION BY lhs, rhs ORDER BY found, via) AS rank FROM v WHERE node = goal)
+SELECT lhs, rhs, rank, array_to_string(via, ' ') AS via, found FROM r WHERE rank <= 4""")
+def detours(spark, sf):
+    """Around every path of at most 200 edges the four shortest walks between its neighbours, no more than k edges longer than itself."""
+    paths = staged(supergraph.superpaths(compact.segments(_noisy(spark, sf)), 24), "paths")
+    around = paths.where("length <= 200").select(F.col("start").alias("s"), F.col("end").alias("t"), "length")
+    links = around.join(paths.select(F.col("path").alias("lhs"), F.col("end").alias("s")), "s").join(paths.select(F.col("path").alias("rhs"), F.col("start").alias("t")), "t")
+    links = links.groupBy("lhs", "rhs").agg((F.max("length") + 24).alias("hi")).withColumn("lo", F.lit(0).cast("long"))
+    return walks.shortest(links, paths, 4).withColumn("via", F.array_join("via", " "))
+
+
+# ---- below: no SQL; pop_bubbles, fixed_reads, threading, scaffolds and assembly have goldens or brute force in the tests
 
 
 @query()
@@ -508,13 +521,33 @@ def assembled_contigs(spark, sf):
     return assembly.assemble(staged(_damaged(spark, sf).withColumn("read_id", F.monotonically_increasing_id()), "reads"), 27)
 
 
-@query()
-def threaded_pairs(spark, sf):
+def _mates(spark, sf):
     """Mates of 40 bases, 160 apart from end to end, drawn at every fifth base of each turn."""
     reads = reads_of(spark, sf, *TALK).where("length(seq) >= 160")
     at = reads.select("read_id", "seq", F.explode(F.expr("sequence(1, length(seq) - 159, 5)")).alias("at"))
-    mates = at.select(F.xxhash64("read_id", "seq", "at").alias("pair_id"), F.expr("substring(seq, at, 40)").alias("s1"), S.reverse_complement(F.expr("substring(seq, at + 120, 40)")).alias("s2"))
-    return supergraph.thread_pairs(_noisy(spark, sf), mates, 24, 160)
+    return at.select(F.xxhash64("read_id", "seq", "at").alias("pair_id"), F.expr("substring(seq, at, 40)").alias("s1"), S.reverse_complement(F.expr("substring(seq, at + 120, 40)")).alias("s2"))
+
+
+@query()
+def threaded_pairs(spark, sf):
+    return supergraph.thread_pairs(_noisy(spark, sf), _mates(spark, sf), 24, 160)
+
+
+@query()
+def consolidated_pairs(spark, sf):
+    """The same, where several walks fit keeping what they share, and with gaps of N where no walk does."""
+    return supergraph.thread_pairs(_noisy(spark, sf), _mates(spark, sf), 24, 160, consolidate=True, fill_gaps=True)
+
+
+@query()
+def scaffold_lines(spark, sf):
+    """Where paths lie on scaffolds that mates tell, at least five pairs a link."""
+    edges = _noisy(spark, sf)
+    placed = compact.positions(edges)
+    paths = staged(supergraph.superpaths(compact.segments(edges, placed), 24), "paths")
+    mates = staged(supergraph.placed_mates(_mates(spark, sf), supergraph.edge_index(edges, placed), 24), "mates")
+    links = staged(supergraph.pair_links(mates, paths, 160, 0.1, 24).select("lhs", "rhs", "n", "gap"), "links")
+    return scaffold.layout(paths, links, 5, 4.0)[1]
 
 
 @query(f"SELECT DISTINCT '\"' || left(edge, {K}) || '\" -> \"' || right(edge, {K}) || '\" [penwidth=1.000 label=\"' || count || '\"];' AS value FROM ({graph_sql(K, *BENCH)})")

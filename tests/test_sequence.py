@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
 from strandlake.functions import stats
-from strandlake.operators import classify, clean, compact, correct, graph, kmerset, spectrum, supergraph
+from strandlake.operators import classify, clean, compact, correct, graph, kmerset, scaffold, spectrum, supergraph
 from strandlake.sources import reads as R
 
 RC = str.maketrans("ACGT", "TGCA")
@@ -281,7 +281,7 @@ def test_threading_and_scaffolds(spark):
     assert {(r.path, r.root, r.rank) for r in supergraph.chain(joins).collect()} == {("p", "p", 0), ("q", "p", 1), ("r", "p", 2), ("x", "x", 0), ("y", "x", 1)}
     paths = spark.createDataFrame([("p", "ACGT"), ("q", "GGGG"), ("r", "TTTT")], "path string, seq string")
     links = spark.createDataFrame([("p", "q", 20, 3.0), ("p", "r", 15, 1.0), ("q", "r", 2, 1.0)], "lhs string, rhs string, n long, gap double")
-    assert sorted(r.seq for r in supergraph.scaffold(paths, links, 3).collect()) == ["ACGTNNNGGGG", "TTTT"]
+    assert sorted(r.seq for r in scaffold.scaffold(paths, links, 3).collect()) == ["ACGTNNNGGGG", "TTTT"]
 
 
 def test_walks_that_begin_with_a_short_step(spark):
@@ -429,7 +429,7 @@ def test_scaffolds_join_overlapping_ends(spark):
     paths = spark.createDataFrame(rows, "path string, seq string")
     links = spark.createDataFrame([("p", "q", 20, -25.0), ("q", "r", 20, -5.0)], "lhs string, rhs string, n long, gap double")
     assert [(r.lhs, r.rhs, r.overlap) for r in supergraph.end_overlaps(paths, links).collect()] == [("p", "q", 30)]
-    (made,) = supergraph.scaffold(paths, links, 10).collect()
+    (made,) = scaffold.scaffold(paths, links, 10).collect()
     assert made.seq == whole + "N" + other and made.n_paths == 3
 
 
