@@ -83,6 +83,27 @@ def majority_edge(edges: DataFrame) -> DataFrame:
     return best.select(F.col("src").alias("node"), "b.edge", (-F.col("b.c")).alias("count"))
 
 
+def majority_path(edges: DataFrame, begins: DataFrame, length: int) -> DataFrame:
+    """node, seq: from each node of begins along the edges of highest count, up to length bases or where nothing leaves.
+
+    Every node has one such edge at most, so steps are doubled: a table tells where 1, 2, 4, ... steps lead,
+    and each begin takes those that its number of steps is made of. A begin that the graph doesn't have has itself as seq.
+    """
+    hop = majority_edge(edges).select(F.col("node").alias("at"), F.expr("substring(edge, 2)").alias("to"), F.expr("right(edge, 1)").alias("bases"))
+    out = begins.select("node").distinct().select("node", F.col("node").alias("seq"), F.col("node").alias("at"), F.greatest(F.lit(0), F.lit(length) - F.length("node")).alias("left"))
+    steps = 1
+    while not (out := staged(out, "majority")).where(f"left >= {steps}").isEmpty():
+        hop = staged(hop, "hops")
+        # bit by bit from the lowest: a path is the same whichever of its hops come first
+        odd = f"(left div {steps}) % 2 = 1"
+        moved = out.where(odd).join(hop, "at", "left").select("node", F.concat("seq", F.coalesce("bases", F.lit(""))).alias("seq"), F.col("to").alias("at"), "left")
+        out = out.where(f"not ({odd})").unionByName(moved)
+        far = hop.select(F.col("at").alias("to"), F.col("to").alias("beyond"), F.col("bases").alias("more"))
+        hop = hop.join(far, "to", "left").select("at", F.col("beyond").alias("to"), F.concat("bases", F.coalesce("more", F.lit(""))).alias("bases"))
+        steps *= 2
+    return out.select("node", "seq")
+
+
 def with_reference_counts(edges: DataFrame, reference: DataFrame) -> DataFrame:
     """Edges of both graphs with the reference's counts."""
     return reference.join(edges.select("edge"), "edge", "left_semi")

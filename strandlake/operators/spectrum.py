@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.seq import canonical, kmers, log_binomial_at_least
-from strandlake.sources.staging import staged
+from strandlake.sources.staging import free, staged
 
 
 def universe(spark, k: int) -> DataFrame:
@@ -99,3 +101,46 @@ def families(hits: DataFrame, lengths: DataFrame, error: float = 0.01, within: f
     scored = held.join(scores.where(F.col("score") <= most), ["length", "missing"])
     best = F.min("score").over(Window.partitionBy("read_id"))
     return scored.withColumn("best", best).where(F.col("score") <= F.col("best") + within).select("read_id", "gene", "score")
+
+
+def mixture(scored: DataFrame, lengths: DataFrame, replicates: int = 16, tolerance: float = 1e-6, seed: int = 1) -> DataFrame:
+    """gene, count, count_error, fpkm, fpkm_error by expectation maximisation over the likelihoods of reads, until nothing moves.
+
+    A read is shared among its genes in proportion to their current abundance times exp(-score). Reads that
+    have the same genes with the same scores are one class, so a round costs what the classes do. Errors are standard deviations
+    over replicates in which every read counts as often as a Poisson variable of mean one drawn by its
+    identifier says; all replicates run through the same rounds. The rounds end when no gene's count, in the sample or a replicate, moves by
+    more than tolerance times the number of reads in five of them. scored: read_id, gene, score in nats (as families() gives them); lengths: gene, length.
+    """
+    names = [f"p{i}" for i in range(replicates + 1)]
+    held = scored.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("gene", F.round("score", 9).alias("score")))).alias("genes"))
+    # the inverse of the distribution function: from which uniform number on the variable is at least 1, 2, ...
+    steps, term, cumulated = [], math.exp(-1), 0.0
+    for i in range(1, 13):
+        cumulated, term = cumulated + term, term / i
+        steps.append(cumulated)
+    uniform = [F.pmod(F.xxhash64("read_id", F.lit(seed), F.lit(i)), F.lit(2**40)) / float(2**40) for i in range(replicates)]
+    drawn = [F.lit(1.0), *(sum(((u >= x).cast("double") for x in steps), F.lit(0.0)) for u in uniform)]
+    classes = held.groupBy("genes").agg(*(F.sum(d).alias(n) for d, n in zip(drawn, names, strict=True)))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("class"), "genes", *names), "mixture-classes")
+    weights = classes.select("class", *(F.col(n).alias(f"w_{n}") for n in names))
+    parts = staged(classes.select("class", F.explode("genes").alias("g")).select("class", "g.gene", F.exp(-F.col("g.score")).alias("likelihood")), "mixture-parts")
+    reads = float(weights.agg(F.sum("w_p0")).first()[0] or 0.0)
+    share = staged(parts.select("gene").distinct().select("gene", *(F.lit(1.0).alias(n) for n in names)), "mixture")
+    moved = math.inf
+    while moved > tolerance * reads:
+        before = share
+        for _ in range(5):
+            own = parts.join(share, "gene").select("class", "gene", *((F.col(n) * F.col("likelihood")).alias(n) for n in names))
+            total = own.groupBy("class").agg(*(F.sum(n).alias(f"t_{n}") for n in names)).join(weights, "class")
+            share = own.join(total, "class").groupBy("gene").agg(*(F.sum(F.when(F.col(f"t_{n}") > 0, F.col(n) / F.col(f"t_{n}") * F.col(f"w_{n}")).otherwise(0.0)).alias(n) for n in names))
+        share = staged(share, "mixture")
+        change = share.join(before.select("gene", *(F.col(n).alias(f"o_{n}") for n in names)), "gene").agg(F.max(F.greatest(*(F.abs(F.col(n) - F.col(f"o_{n}")) for n in names)) if replicates else F.abs(F.col("p0") - F.col("o_p0"))))
+        moved = change.first()[0] or 0.0
+        free(before)
+    mean = sum((F.col(n) for n in names[1:]), F.lit(0.0)) / max(1, replicates)
+    error = F.sqrt(sum(((F.col(n) - mean) ** 2 for n in names[1:]), F.lit(0.0)) / max(1, replicates - 1))
+    scale = 1e9 / (F.col("length") * F.lit(max(1.0, reads)))
+    out = share.join(lengths, "gene").select("gene", F.col("p0").alias("count"), error.alias("count_error"), (F.col("p0") * scale).alias("fpkm"), (error * scale).alias("fpkm_error"))
+    free(classes, parts)
+    return out

@@ -497,6 +497,14 @@ def abundance(spark, sf):
     return spectrum.abundance(hits, genes.select(F.col("read_id").alias("gene"), F.length("seq").alias("length")), 10)
 
 
+@query()
+def gene_mixture(spark, sf):
+    """Abundance of the benchmark's texts as genes, by likelihood, with errors."""
+    _, index, hits = _gene_hits(spark, sf)
+    lengths = index.groupBy("gene").agg(F.count("*").alias("length"))
+    return spectrum.mixture(spectrum.families(hits, lengths), lengths)
+
+
 @query()
 def threaded_contigs(spark, sf):
     reads = reads_of(spark, sf)

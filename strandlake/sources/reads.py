@@ -159,11 +159,23 @@ def fasta_text(df: DataFrame, label: str, seq: str = "seq", width: int = 60) ->
     return df.select(F.concat(F.lit(">"), F.col(label).cast("string"), F.lit("\n"), body).alias("value"))
 
 
-def same_format_text(reads: DataFrame) -> DataFrame:
-    """value: each read as its source had it."""
+def same_format_text(reads: DataFrame, *keep: str) -> DataFrame:
+    """The columns kept and value: each read as its source had it."""
     fastq = F.concat(F.lit("@"), F.col("label"), F.lit("\n"), F.col("seq"), F.lit("\n+"), F.coalesce("qlabel", F.lit("")), F.lit("\n"), F.col("qual"))
     fasta = F.concat(F.lit(">"), F.col("label"), F.lit("\n"), F.col("seq"))
-    return reads.select(F.when(F.col("fmt") == "fastq", fastq).when(F.col("fmt") == "fasta", fasta).otherwise(F.col("seq")).alias("value"))
+    return reads.select(*keep, F.when(F.col("fmt") == "fastq", fastq).when(F.col("fmt") == "fasta", fasta).otherwise(F.col("seq")).alias("value"))
+
+
+def save_by_class(reads: DataFrame, classes: DataFrame, path: str, key: str = "read_id", mate: str | None = None) -> None:
+    """Writes every read, in its source's format, below path/cls=<class>, and below mate=<mate> if that column is named; reads without a class go to 'none'.
+
+    Mates share a key and so a class. Reads are dealt and sorted by class and key, so the n-th files of both mates of a class
+    hold the same keys in the same order. classes: key, cls, a row a key.
+    """
+    told = reads.join(classes.select(key, "cls"), key, "left").withColumn("cls", F.coalesce("cls", F.lit("none")))
+    dealt = told.repartitionByRange("cls", key).sortWithinPartitions("cls", *([mate] if mate else []), key)
+    by = ["cls", *([mate] if mate else [])]
+    same_format_text(dealt, *by).write.mode("overwrite").partitionBy(*by).text(path)
 
 
 def save(df: DataFrame, path: str, kind: str, k: int, asymmetric: bool = False) -> None:
@@ -209,8 +221,13 @@ def parse_graph_text(lines: DataFrame, k: int | None = None) -> DataFrame:
     return held.select(F.when(wrong, F.raise_error(F.concat(F.lit("bad edge: "), F.coalesce("edge", F.lit("null"))))).otherwise(F.col("edge")).alias("edge"), "count")
 
 
-def set_text(kmer_set: DataFrame) -> DataFrame:
-    return kmer_set.orderBy("kmer").select(F.col("kmer").alias("value"))
+def set_text(kmer_set: DataFrame, k: int | None = None) -> DataFrame:
+    """value: the k-mers in order; with k, after lines of the dump's version, and of k and the number of k-mers."""
+    lines = kmer_set.select(F.lit(1).alias("part"), F.col("kmer").alias("value"))
+    if k is not None:
+        head = kmer_set.sparkSession.createDataFrame([(-1, f"#{DUMP_VERSION}"), (0, f"{k} {kmer_set.count()}")], "part int, value string")
+        lines = head.unionByName(lines)
+    return lines.orderBy("part", "value").select("value")
 
 
 def dot_text(edges: DataFrame, k: int, scale: str = "const", show_counts: bool = True, collapse: bool = False, label_nodes: bool = True) -> DataFrame:
