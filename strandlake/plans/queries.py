@@ -424,6 +424,20 @@ def edge_index(spark, sf):
     return supergraph.edge_index(_noisy(spark, sf))
 
 
+@query(f"""{walk_sql(NOISY, 24)}, h AS MATERIALIZED (SELECT k.read_id, k.pos, p.head, p.pos - k.pos AS diagonal FROM ({kmers_sql(25, *BENCH)}) k JOIN placed p ON p.edge = k.kmer),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY read_id, head, diagonal ORDER BY pos) AS run FROM h),
+o AS (SELECT read_id, head, diagonal, min(pos) AS a, max(pos) + 25 AS b, count(*) AS n_edges FROM i GROUP BY read_id, head, diagonal, run),
+x AS (SELECT o.*, {rc("last")} AS other, length + 24 AS size FROM o JOIN segs USING (head))
+SELECT read_id, least(head, other) AS path, head <= other AS forward, a::BIGINT AS read_begin, b::BIGINT AS read_end, (CASE WHEN head <= other THEN diagonal + a ELSE size - diagonal - b END)::BIGINT AS path_begin,
+(CASE WHEN head <= other THEN diagonal + b ELSE size - diagonal - a END)::BIGINT AS path_end, n_edges FROM x""")
+def path_alignments(spark, sf):
+    """The benchmark items along the paths of the damaged turns."""
+    edges = _noisy(spark, sf)
+    placed = compact.positions(edges)
+    aligned = supergraph.align_reads(reads_of(spark, sf, *BENCH), supergraph.edge_index(edges, placed), 24)
+    return supergraph.alignments(aligned, supergraph.superpaths(compact.segments(edges, placed), 24), 24)
+
+
 @query(f"""{walk_sql(NOISY, 24)}, e AS (SELECT s AS a, t AS b FROM segs UNION SELECT t, s FROM segs), reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
 root AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a), lab AS (SELECT root, least(min(least), min(t)) AS component FROM segs JOIN root ON s = node GROUP BY root)
 SELECT component, count(*) AS size, min(count) AS min_count, max(count) AS max_count, round(avg(count), 6) AS mean_count, round(stddev_pop(count), 6) AS sd_count
@@ -518,6 +532,15 @@ def fixed_reads(spark, sf):
     return correct.fix_reads(reads, graph.trim(_noisy(spark, sf), 1), 24)
 
 
+@query()
+def mended_reads(spark, sf):
+    """Each turn with a base left out, put in or changed in every 211 by turns, mended by the graph of all copies."""
+    i = "substring(seq, 211 * i + 1, 100)"
+    worn = F.expr(f"array_join(transform(sequence(0, length(seq) div 211), i -> concat({i}, case i % 3 when 0 then '' when 1 then substring(seq, 211 * i + 100, 2) else translate(substring(seq, 211 * i + 101, 1), 'ACGT', 'CGTA') end, substring(seq, 211 * i + 102, 110))), '')")
+    reads = reads_of(spark, sf, *TALK).select(F.monotonically_increasing_id().alias("read_id"), worn.alias("seq"))
+    return correct.mend_reads(staged(reads, "reads"), graph.trim(_noisy(spark, sf), 1), 24)
+
+
 @query()
 def transcripts_of_reads(spark, sf):
     reads = staged(_damaged(spark, sf).withColumn("read_id", F.monotonically_increasing_id()), "reads")
