@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions import packed
 from strandlake.functions import seq as S
 from strandlake.operators import classify, clean, compact, correct, graph, kmerset, scaffold, spectrum, supergraph, transcripts, walks
 from strandlake.plans import assembly
@@ -76,12 +77,12 @@ K = 15  # where variety of classes matters: chance matches of the letter mapping
 
 @query(f"SELECT count AS multiplicity, count(*) AS n FROM ({graph_sql(24)}) GROUP BY 1")
 def coverage_histogram(spark, sf):
-    return graph.histogram(graph.build(reads_of(spark, sf), 24))
+    return packed.histogram(packed.counts(reads_of(spark, sf), 25))
 
 
 @query(f"SELECT left(kmer, 4) AS prefix, count(*) AS n, min(kmer) AS low, max(kmer) AS high FROM ({set_sql(25)}) GROUP BY 1")
 def kmer_set_by_prefix(spark, sf):
-    return kmerset.build(reads_of(spark, sf), 25).groupBy(F.expr("left(kmer, 4)").alias("prefix")).agg(F.count("*").alias("n"), F.min("kmer").alias("low"), F.max("kmer").alias("high"))
+    return packed.by_prefix(packed.counts(reads_of(spark, sf), 25), 25, 4)
 
 
 @query(f"SELECT left(kmer, 4) AS prefix, count(*) AS n FROM ({set_sql(K, *BENCH)} UNION {set_sql(K, *TALK)}) GROUP BY 1")
@@ -424,17 +425,18 @@ def edge_index(spark, sf):
     return supergraph.edge_index(_noisy(spark, sf))
 
 
-@query(f"""{walk_sql(NOISY, 24)}, h AS MATERIALIZED (SELECT k.read_id, k.pos, p.head, p.pos - k.pos AS diagonal FROM ({kmers_sql(25, *BENCH)}) k JOIN placed p ON p.edge = k.kmer),
+@query(f"""{walk_sql(NOISY, 24)}, h AS MATERIALIZED (SELECT k.read_id, k.pos, p.head, p.pos - k.pos AS diagonal FROM ({kmers_sql(25, "conversations", "conv_id * 1000 + turn")}) k JOIN placed p ON p.edge = k.kmer),
 i AS (SELECT *, pos - row_number() OVER (PARTITION BY read_id, head, diagonal ORDER BY pos) AS run FROM h),
 o AS (SELECT read_id, head, diagonal, min(pos) AS a, max(pos) + 25 AS b, count(*) AS n_edges FROM i GROUP BY read_id, head, diagonal, run),
 x AS (SELECT o.*, {rc("last")} AS other, length + 24 AS size FROM o JOIN segs USING (head))
 SELECT read_id, least(head, other) AS path, head <= other AS forward, a::BIGINT AS read_begin, b::BIGINT AS read_end, (CASE WHEN head <= other THEN diagonal + a ELSE size - diagonal - b END)::BIGINT AS path_begin,
 (CASE WHEN head <= other THEN diagonal + b ELSE size - diagonal - a END)::BIGINT AS path_end, n_edges FROM x""")
 def path_alignments(spark, sf):
-    """The benchmark items along the paths of the damaged turns."""
+    """The turns along the paths of their damaged copies' graph."""
     edges = _noisy(spark, sf)
     placed = compact.positions(edges)
-    aligned = supergraph.align_reads(reads_of(spark, sf, *BENCH), supergraph.edge_index(edges, placed), 24)
+    turns = reads_of(spark, sf, *TALK, "turn").withColumn("read_id", F.col("read_id") * 1000 + F.col("turn"))
+    aligned = supergraph.align_reads(turns, supergraph.edge_index(edges, placed), 24)
     return supergraph.alignments(aligned, supergraph.superpaths(compact.segments(edges, placed), 24), 24)
 
 
@@ -537,8 +539,8 @@ def mended_reads(spark, sf):
     """Each turn with a base left out, put in or changed in every 211 by turns, mended by the graph of all copies."""
     i = "substring(seq, 211 * i + 1, 100)"
     worn = F.expr(f"array_join(transform(sequence(0, length(seq) div 211), i -> concat({i}, case i % 3 when 0 then '' when 1 then substring(seq, 211 * i + 100, 2) else translate(substring(seq, 211 * i + 101, 1), 'ACGT', 'CGTA') end, substring(seq, 211 * i + 102, 110))), '')")
-    reads = reads_of(spark, sf, *TALK).select(F.monotonically_increasing_id().alias("read_id"), worn.alias("seq"))
-    return correct.mend_reads(staged(reads, "reads"), graph.trim(_noisy(spark, sf), 1), 24)
+    reads = reads_of(spark, sf, *TALK, "turn").select((F.col("read_id") * 1000 + F.col("turn")).alias("read_id"), worn.alias("seq"))
+    return correct.thread_spans(staged(reads, "reads"), graph.trim(_noisy(spark, sf), 1), 24)
 
 
 @query()
