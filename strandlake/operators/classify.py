@@ -17,18 +17,26 @@ MASKS = [
     (8, "both", "definite"), (9, "both", "probable"), (10, "right", "definite"), (11, "right", "probable"),
     (12, "left", "definite"), (13, "left", "probable"), (14, "ambiguous", "definite"), (15, "ambiguous", "probable"),
 ]
+#: What all k-mers of an index may take, counted with so many bytes a row beside their bases, to be sent to every task.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 CLASSES = ("left", "right", "both", "neither", "ambiguous")
 
 
 def hits(reads: DataFrame, index: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
     """key, kmer and the index's other columns for each window of a read, on either strand, whose k-mer the index has.
 
-    index: kmer (distinct), other columns. It is written once; windows that a filter of its k-mers rules
-    out are dropped where they arise, so only likely hits are dealt by k-mer.
+    index: kmer (distinct), other columns. It is written once. Where all its k-mers are few enough to be sent
+    to every task, others are dropped by them where they arise, else by a filter; so only hits or likely ones are dealt by k-mer.
     """
     index = staged(index, "index")
-    likely = probable(index.select("kmer"), index.count())
-    return kmers(reads, k, seq, keep=(key,)).select(key, canonical("kmer").alias("kmer")).where(likely(F.col("kmer"))).join(index, "kmer")
+    rows, told = index.count(), index.select("kmer")
+    held = kmers(reads, k, seq, keep=(key,)).select(key, canonical("kmer").alias("kmer"))
+    if rows * (k + ROW_BYTES) > BROADCAST_BYTES:
+        held = held.where(probable(told, rows)(F.col("kmer"))).join(index, "kmer")
+    else:
+        held = held.join(F.broadcast(told), "kmer", "left_semi")
+        held = held if index.columns == ["kmer"] else held.join(index, "kmer")
+    return held.select(key, "kmer", *(c for c in index.columns if c != "kmer"))
 
 
 def matching(reads: DataFrame, kmer_set: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:

@@ -204,6 +204,20 @@ def test_masks_and_classes(spark):
     assert got == {0: ([(0, 1)], 1, False), 1: ([(1, 1)], 1, False), 2: ([(3, 256)], 1, False), 3: ([(0, 1), (1, 1)], 2, True), 4: ([], 0, False), 5: ([], 0, False)}
 
 
+@pytest.mark.parametrize("most", [None, -1])
+def test_hits_by_sent_sets_and_by_filter(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(classify, "BROADCAST_BYTES", most)
+    a = dna(97, 60)
+    index = kmerset.build(table(spark, a), 9)
+    reads = [a[5:30], rc(a[20:40]), dna(98, 40), "", "ACGT"]
+    held = {r.kmer for r in index.collect()}
+    want = sorted((i, c) for i, s in enumerate(reads) for w in windows(s, 9) if (c := min(w, rc(w))) in held)
+    assert sorted(map(tuple, classify.hits(table(spark, *reads), index, 9).collect())) == want
+    more = classify.hits(table(spark, *reads), index.withColumn("one", F.lit(1)), 9)
+    assert more.columns.count("kmer") == 1 and sorted((r.read_id, r.kmer) for r in more.where("one = 1").collect()) == want
+
+
 def test_lowest_common_ancestors(spark):
     paths = spark.createDataFrame([(0, [0]), (1, [0, 1]), (2, [0, 2]), (3, [0, 1, 3]), (4, [0, 1, 4])], "node int, path array<int>")
     a, b, c = dna(41, 50), dna(42, 50), dna(43, 50)
