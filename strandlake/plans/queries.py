@@ -15,7 +15,8 @@ from strandlake.functions import seq as S
 from strandlake.operators import classify, clean, compact, correct, graph, kmerset, scaffold, spectrum, supergraph, transcripts, walks
 from strandlake.plans import assembly
 from strandlake.sources import reads as sources
-from strandlake.sources.staging import staged
+from strandlake.sources.ranges import read_fastq_ranges
+from strandlake.sources.staging import new_path, staged
 from strandlake.streaming.counts import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -606,6 +607,16 @@ def graph_dump(spark, sf):
     return sources.graph_text(_graph(spark, sf, BENCH))
 
 
+@query(f"SELECT read_id AS label, length(coalesce(seq, ''))::BIGINT AS length, sha256(coalesce(seq, '')) AS seq_sha256 FROM ({reads_sql()})")
+def fastq_by_ranges(spark, sf):
+    """All reads, written as FASTQ and read back from byte ranges."""
+    reads = reads_of(spark, sf).withColumn("seq", F.coalesce("seq", F.lit("")))
+    path = new_path(spark, "fastq")
+    records = reads.select(F.lit("fastq").alias("fmt"), F.col("read_id").cast("string").alias("label"), "seq", F.lit(None).cast("string").alias("qlabel"), F.expr("repeat('@', length(seq))").alias("qual"))
+    sources.same_format_text(records).write.text(path)
+    return read_fastq_ranges(spark, path, split=8 << 20).select(F.col("label").cast("long").alias("label"), F.length("seq").cast("long").alias("length"), F.sha2("seq", 256).alias("seq_sha256"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_events(spark, sf):
     return windowed_counts(spark.read.parquet(f"{sf}/events.parquet"), "ts", "event_type")
