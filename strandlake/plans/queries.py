@@ -508,10 +508,16 @@ def gene_families(spark, sf):
     return held.withColumn("score", F.round("score", 6) + 0.0)
 
 
-@query()
+SHARES = ", ".join(f"e{i + 1} AS MATERIALIZED (SELECT gene, sum(p / t) AS p FROM (SELECT gene, p, sum(p) OVER (PARTITION BY read_id) AS t FROM h JOIN e{i} USING (gene)) GROUP BY gene)" for i in range(10))
+
+
+@query(f"""WITH n AS (SELECT read_id, gene, count(DISTINCT kmer) AS n FROM ({canon_sql(20)}) JOIN (SELECT DISTINCT read_id AS gene, kmer FROM ({canon_sql(20, *BENCH)})) USING (kmer) GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT read_id, gene FROM (SELECT *, max(n) OVER (PARTITION BY read_id) AS best FROM n) WHERE n = best), e0 AS (SELECT DISTINCT gene, 1.0::DOUBLE AS p FROM h), {SHARES}
+SELECT gene, round(p, 6) AS count, round(p * 1e9 / (length * (SELECT greatest(1, count(DISTINCT read_id)) FROM h)), 4) AS fpkm FROM e10 JOIN (SELECT read_id AS gene, length(seq) AS length FROM ({reads_sql(*BENCH)})) USING (gene)""")
 def abundance(spark, sf):
     genes, _, hits = _gene_hits(spark, sf)
-    return spectrum.abundance(hits, genes.select(F.col("read_id").alias("gene"), F.length("seq").alias("length")), 10)
+    held = spectrum.abundance(hits, genes.select(F.col("read_id").alias("gene"), F.length("seq").alias("length")), 10)
+    return held.select("gene", F.round("count", 6).alias("count"), F.round("fpkm", 4).alias("fpkm"))
 
 
 @query()
