@@ -1,5 +1,7 @@
 """Transcripts of a Y, of bubbles, of a ring and of seeds without reads between."""
 
+import random
+
 import pytest
 
 from strandlake.operators import graph, transcripts
@@ -102,3 +104,33 @@ def test_seeds_grow_without_reads(spark):
 def test_nothing_in_nothing_out(spark):
     held = table(spark, "ACG", "", None)
     assert transcripts.assemble(graph.build(held, K), held, K).count() == 0
+
+
+def test_strongest_ways_equal_brute_force(spark):
+    """Random splice graphs with cycles: the width of each weld's way is that of the best simple way from any beginning."""
+    rnd = random.Random(3)
+    welds = {}
+    for g in range(3):
+        for _ in range(14):
+            u, v = rnd.sample(range(7), 2)
+            welds[f"{g}p{u}", f"{g}p{v}"] = rnd.randint(4, 40)
+    follow = [(u, v, w, min(n, m), False) for (u, v), n in welds.items() for (x, w), m in welds.items() if x == v]
+    into = {(v, w) for _, v, w, _, _ in follow}
+    best = {}
+    todo = [((s,), n) for s, n in welds.items() if s not in into]
+    begins = {s for s, n in welds.items() if s not in into}
+    while todo:
+        way, width = todo.pop()
+        best[way[-1]] = max(best.get(way[-1], 0), width)
+        todo += [((*way, (v, w)), min(width, n)) for u, v, w, n, _ in follow if (u, v) == way[-1] and (v, w) not in way]
+    table_ = spark.createDataFrame([(*s, n) for s, n in welds.items()], "u string, v string, n long")
+    home = spark.createDataFrame([(f"{g}p{i}", f"{g}") for g in range(3) for i in range(7)], "path string, component string")
+    told = transcripts.ways_in(table_, spark.createDataFrame(follow, "u string, v string, w string, n long, phased boolean"), home)
+    got = {(r.u, r.v): (r.width, r.route) for r in told.collect()}
+    assert got.keys() == welds.keys() and begins and best
+    for s, (width, route) in got.items():
+        steps = list(zip(route, route[1:]))
+        assert steps[-1] == s and len(set(steps)) == len(steps)
+        assert width == min(welds[x] for x in steps)
+        if s in best:
+            assert width == best[s]
