@@ -83,7 +83,7 @@ def grid_cells(ids: np.ndarray, bounds: np.ndarray, moves: np.ndarray, bits: int
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, curve key, number of tokens with the end, and the compressed ids of every row."""
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, "2m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe.load(tokenizer)
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
     equal keys); a null or empty text is its end token alone. Equal keys are ordered by doc_id. An empty
     table has no pieces. Documents with one key, however many, are split over range partitions by doc_id.
     """
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, "2m")
     tokens = stage(tokenize(docs, tokenizer, end_id).withColumn("rid", F.monotonically_increasing_id()), "op7-ids", "none")
     placed = tokens.join(positions(tokens), "rid")
     return cut(placed, length, end_id, max(word_bpe.load(tokenizer).size, end_id) < 2**16)

@@ -259,7 +259,7 @@ def strays(mixed: DataFrame, turn: int) -> DataFrame:
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links a, b between nodes; node and root of the nodes that have some; described rows). The links' components are those of all similar pairs."""
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, "2m")
     rows = stage(describe(docs), "op6-rows")
     shared = shared_prefixes(prefixes(docs, percent), percent)
     places = stage(meetings(shared, percent), "op6-places")

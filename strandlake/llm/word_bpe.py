@@ -306,7 +306,23 @@ class WordBpe:
         return b" ".join([self.token_bytes[i] for i in ids]).decode()
 
 
-def split_chunks(data: np.ndarray, bounds: np.ndarray, step: int = 2**22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tabulated(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sum over a chunk's first bytes of what TABLE says for each place and byte; long chunks are summed in part."""
+    size = np.minimum(lengths, TABULATED).astype(np.uint8)
+    order = np.argsort(TABULATED - size, kind="stable")  # the longest first: those that have a k-th byte are the first ones
+    longer = len(size) - np.cumsum(np.bincount(size, minlength=TABULATED + 1))
+    at, sums = starts[order], np.zeros(len(size), dtype=np.uint64)
+    for k in range(TABULATED):
+        n = int(longer[k])
+        if not n:
+            break
+        sums[:n] += TABLE[k * 256 : (k + 1) * 256][data[at[:n] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+def split_chunks(data: np.ndarray, bounds: np.ndarray, step: int = 2**16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where the runs of other bytes than white space begin, their lengths and hashes, and how many each text has."""
     inside = ~SPACE[data]
     edge = inside.copy()
@@ -319,16 +335,8 @@ def split_chunks(data: np.ndarray, bounds: np.ndarray, step: int = 2**22) -> tup
     stop[-1:] = inside[-1:]
     lengths = np.flatnonzero(stop) + 1 - starts
     hashes = np.empty(len(starts), dtype=np.uint64)
-    ends = np.cumsum(lengths)
-    first = 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + step)))
-        n = lengths[first:last]
-        offsets = np.cumsum(n) - n
-        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(offsets, n)
-        held = data[place + np.repeat(starts[first:last], n)]
-        hashes[first:last] = np.add.reduceat(TABLE[np.minimum(place, TABULATED - 1) * 256 + held], offsets)
-        first = last
+    for first in range(0, len(starts), step):
+        hashes[first : first + step] = tabulated(data, starts[first : first + step], lengths[first : first + step])
     for i in np.flatnonzero(lengths > TABULATED).tolist():
         hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), "little")
     per_text = np.diff(np.searchsorted(starts, bounds))

@@ -300,3 +300,36 @@ def test_quality_of_few_and_of_equal_labelled_texts(spark):
     finally:
         kind.toPandas = held
     assert seen and seen[0] <= 40
+
+
+# ---- 7 and the pipeline
+
+
+def test_a_batch_of_texts_takes_little_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from strandlake.llm import curve_packing, ngram_join
+
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    for plan in (curve_packing.pack, lambda d, _: ngram_join.near_duplicates(d)):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        plan(docs, WORD)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
+    column = pa.array([words(i, 500) for i in range(2000)], pa.string())  # some 5 MB
+    data = np.frombuffer("".join(column.to_pylist()).encode(), np.uint8)
+    tracemalloc.start()
+    try:
+        word_bpe.split_chunks(data, np.array([0, len(data)]))
+        assert tracemalloc.get_traced_memory()[1] < 16 * len(data)
+    finally:
+        tracemalloc.stop()
+
+
+def test_hashes_of_chunks_are_sums_of_the_table():
+    cases = [b"a", b"abc", b"\x00x\x00", "ÀÉß".encode(), b"y" * 48, bytes(range(0x21, 0x60))[:47]] * 3
+    data = np.frombuffer(b" ".join(cases), np.uint8)
+    starts, lengths, hashes, per_text = word_bpe.split_chunks(data, np.array([0, len(data)]), step=4)
+    assert [data[s : s + n].tobytes() for s, n in zip(starts, lengths)] == cases and per_text.tolist() == [len(cases)]
+    assert hashes.tolist() == [sum(int(word_bpe.TABLE[k * 256 + b]) for k, b in enumerate(c)) % 2**64 for c in cases]
