@@ -3,8 +3,9 @@
 Each word has a segment tree over the ranks of its adjacent pairs. A node holds the least
 ``rank * 2**32 + position`` below it, so the root is the leftmost pair of lowest rank. A merge
 changes three leaves, each a point update of logarithmic cost, until the root holds no pair.
-The trees of all distinct words of one size class lie side by side in one array, and numpy
-advances them together, one merge a step.
+The trees of the words of all new chunks, by size class, lie side by side in one array, and numpy
+advances them together, one merge a step. Small trees, which most words have, refill their inner
+nodes level by level over all words at once; large ones go up from the changed leaves.
 """
 
 from __future__ import annotations
@@ -31,6 +32,16 @@ TABULATED = 48
 TABLE = np.random.default_rng(20).integers(1, 2**64, size=(TABULATED, 256), dtype=np.uint64).ravel()
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Letters of ASCII and, as bytes 0xC3 and one of SECOND, of Latin-1: every version of Unicode splits and lower-cases them alike.
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = True
+SECOND = np.zeros(256, dtype=bool)
+SECOND[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+LOWER, LOWER_SECOND = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+LOWER_SECOND[[b for b in range(0x80, 0x9F) if b != 0x97]] += 32
+#: Up to so many leaves a tree is refilled as a whole.
+SMALL = 32
 
 
 class Words(dict):
@@ -109,13 +120,12 @@ class WordBpe:
         self.final = np.array([vocab[shown[b] + suffix] for b in range(256)], dtype=np.int64)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         ranked = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
-        keys = np.array([a * 2**20 + b for a, b in ranked], dtype=np.int64)
-        order = np.argsort(keys)
-        self.pair_keys = keys[order]
-        self.pair_ranks = np.array([r for r, _ in ranked.values()], dtype=np.int64)[order]
+        self.pair_keys, self.pair_ranks = pair_slots(np.array([a * 2**20 + b for a, b in ranked], dtype=np.int64), np.array([r for r, _ in ranked.values()], dtype=np.int64))
         self.merged = np.zeros(len(merges), dtype=np.int64)
         for rank, new in ranked.values():
             self.merged[rank] = new
+        every = np.arange(2**16)  # pairs of bytes: neither, or the second, is a word's last
+        self.byte_pairs = np.stack([self.ranks(self.inner[every >> 8], last[every & 255], np.int64(0)) for last in (self.inner, self.final)])
         self.most_known = 400_000
         self.known = np.zeros(0, dtype=np.uint64)
         self.known_start, self.known_count = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
@@ -128,14 +138,23 @@ class WordBpe:
 
     def ranks(self, left: np.ndarray, right: np.ndarray, position: np.ndarray) -> np.ndarray:
         """rank * 2**32 + position of each pair, NONE where no merge joins it."""
-        key = left * 2**20 + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, (self.pair_ranks[at] << 32) | position, NONE)
-
-    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of each word, one after the other, and how many each has."""
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        pairs = left * 2**20 + right
+        key = pairs.ravel()
+        at = first_slots(key, len(self.pair_keys))
+        held = self.pair_keys[at]
+        rank = np.where(held == key, self.pair_ranks[at], -1)
+        further = np.flatnonzero((held != key) & (held >= 0))
+        while len(further):
+            at[further] = (at[further] + 1) & (len(self.pair_keys) - 1)
+            held = self.pair_keys[at[further]]
+            same = further[held == key[further]]
+            rank[same] = self.pair_ranks[at[same]]
+            further = further[(held != key[further]) & (held >= 0)]
+        rank = rank.reshape(pairs.shape)
+        return np.where(rank >= 0, (rank << 32) | position, NONE)
+
+    def merge_words(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word, one after the other, and how many each has. raw: the words' bytes, one after the other."""
         starts = np.cumsum(lengths) - lengths
         symbols = self.inner[raw]
         symbols[starts + lengths - 1] = self.final[raw[starts + lengths - 1]]
@@ -144,15 +163,69 @@ class WordBpe:
         most = int(pairs.max(initial=0))
         while most:
             these = np.flatnonzero((pairs > size // 2) & (pairs <= size))
-            step = max(1, 2**20 // size)
+            step = max(1, 2**17 // size)
             for i in range(0, len(these), step):
-                self._merge_forest(symbols, alive, starts[these[i : i + step]], lengths[these[i : i + step]], size)
+                some = starts[these[i : i + step]], lengths[these[i : i + step]], size
+                self._merge_small(raw, symbols, alive, *some) if size <= SMALL else self._merge_forest(symbols, alive, *some)
             if size >= most:
                 break
             size *= 2
-        kept = np.add.reduceat(alive.astype(np.int64), starts) if len(words) else lengths
+        kept = np.add.reduceat(alive, starts, dtype=np.int64) if len(lengths) else lengths
         return symbols[alive], kept
 
+    def _merge_small(self, raw: np.ndarray, symbols: np.ndarray, alive: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> None:
+        """Merges words with at most size pairs in place. Column w of each level is of word w; the levels are filled anew at every step."""
+        n = len(starts)
+        place = np.arange(size + 1)[:, None]
+        inside = place < lengths
+        flat = np.where(inside, starts + place, 0)
+        word = np.where(inside, symbols[flat], -1)
+        held = raw[flat].astype(np.int64)
+        level = self.byte_pairs[(place[:-1] + 2 == lengths).astype(np.int64), (held[:-1] << 8) | held[1:]] + place[:-1]
+        levels = [np.where(inside[1:], np.minimum(level, NONE), NONE)]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        after = np.where(place + 1 < lengths, place + 1, size + 1)
+        after = np.concatenate([after, np.full((1, n), size + 1)])  # behind the end is the end
+        before = np.broadcast_to(place - 1, (size + 1, n)).copy()
+        word = np.concatenate([word, np.full((1, n), -1)])
+        columns = np.arange(n)  # where the words that still merge are in the result
+        out, root = word, levels[-1][0]
+        while len(active := np.flatnonzero(root < NONE)):
+            if 4 * len(active) < 3 * n:
+                if word is not out:
+                    out[:, columns] = word
+                columns, n = columns[active], len(active)
+                word, after, before, *levels = (x.take(active, axis=1) for x in (word, after, before, *levels))
+                active, root = np.arange(n), levels[-1][0]
+            symbol, leaf, behind_of, ahead_of = word.ravel(), levels[0].ravel(), after.ravel(), before.ravel()
+            top = root[active]
+            at = top & POSITION
+            here = at * n + active
+            gone = behind_of[here]
+            behind = behind_of[gone * n + active]
+            ahead = ahead_of[here]
+            new = self.merged[top >> 32]
+            symbol[here] = new
+            symbol[gone * n + active] = -1
+            behind_of[here] = behind
+            has = behind <= size
+            leaf[here] = np.where(has, self.ranks(new, symbol[behind * n + active], at), NONE)
+            ahead_of[(behind * n + active)[has]] = at[has]
+            inner = gone < size  # the last symbol has no leaf of its own
+            leaf[(gone * n + active)[inner]] = NONE
+            has = np.flatnonzero(ahead >= 0)
+            to = ahead[has] * n + active[has]
+            leaf[to] = self.ranks(symbol[to], new[has], ahead[has])
+            for below, level in zip(levels, levels[1:]):
+                np.minimum(below[::2], below[1::2], out=level)
+            root = levels[-1][0]
+        if word is not out:
+            out[:, columns] = word
+        inside = np.flatnonzero(inside.ravel())
+        symbols[flat.ravel()[inside]] = found = out[: size + 1].ravel()[inside]
+        alive[flat.ravel()[inside]] = found >= 0
+
     def _merge_forest(self, symbols: np.ndarray, alive: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> None:
         """Merges words with at most size pairs in place; row w of tree is the segment tree of word w."""
         n = len(starts)
@@ -212,26 +285,53 @@ class WordBpe:
             return [plain]
         return [plain[:-1], plain[-1]] if plain[-1:] in (".", ",") and plain[:-1].isalpha() else self.find(plain)
 
-    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of each chunk, one after the other, and how many each has."""
+    def _encode_chunks(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each chunk of data, one after the other, and how many each has.
+
+        Chunks of letters of ASCII and Latin-1, with a full stop or comma behind them or not, are words as they are, in lower case.
+        """
+        raw = data[flatten(lengths, starts)]
+        begin = np.cumsum(lengths) - lengths
+        second = np.zeros(len(raw), dtype=bool)
+        second[1:] = (raw[:-1] == 0xC3) & SECOND[raw[1:]]
+        lower = np.where(second, LOWER_SECOND[raw], LOWER[raw])
+        odd = np.add.reduceat(~(LETTER[raw] | second), begin, dtype=np.int64) if len(lengths) else lengths
+        marks = raw[begin + lengths - 1].astype(np.int64)
+        marked = (odd == 1) & ((marks == 0x2E) | (marks == 0x2C)) & (lengths > 1)
+        plain = (odd == 0) | marked
+        bodies = np.where(plain, lengths - marked, 0)
+        others = np.flatnonzero(~plain)
         number = Words()
-        split = [self._split(c) for c in chunks]
+        split = [self._split(raw[a:z].tobytes().decode(errors="replace")) for a, z in zip(begin[others].tolist(), (begin + lengths)[others].tolist(), strict=True)]
         per_chunk = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(per_chunk.sum()))
-        plain = np.fromiter((not isinstance(w, int) for w in number), dtype=bool, count=len(number))
-        ids, kept = self.merge_words([w.encode() for w in number if not isinstance(w, int)])
+        words = [w.encode() for w in number if not isinstance(w, int)]
+        merged, kept = self.merge_words(
+            np.concatenate([lower[flatten(bodies[plain], begin[plain])], np.frombuffer(b"".join(words), dtype=np.uint8)]),
+            np.concatenate([bodies[plain], np.fromiter(map(len, words), dtype=np.int64, count=len(words))]),
+        )
+        alone = [w for w in number if isinstance(w, int)]  # tokens that stand for themselves
+        own = np.fromiter((not isinstance(w, int) for w in number), dtype=bool, count=len(number))
+        n_plain = int(plain.sum())
         counts = np.ones(len(number), dtype=np.int64)
-        counts[plain] = kept
-        starts = np.cumsum(counts) - counts
-        word_ids = np.empty(int(counts.sum()), dtype=np.uint32)
-        word_ids[flatten(kept, starts[plain])] = ids
-        if not plain.all():
-            for w, i in number.items():
-                if isinstance(w, int):
-                    word_ids[starts[i]] = w
-        ends = np.concatenate([[0], np.cumsum(counts[flat])])
-        words = np.concatenate([[0], np.cumsum(per_chunk)])
-        return word_ids[flatten(counts[flat], starts[flat])], np.diff(ends[words])
+        counts[own] = kept[n_plain:]
+        at = np.cumsum(kept) - kept
+        from_ids = np.empty(len(number), dtype=np.int64)
+        from_ids[own] = at[n_plain:]
+        from_ids[~own] = len(merged) + np.arange(len(alone))
+        pool = np.concatenate([merged, np.array(alone, dtype=np.int64), self.final]).astype(np.uint32)
+        final = len(merged) + len(alone)
+        # the runs of the pool that make up each chunk: a word and its mark, or the words of _split
+        runs = np.where(marked, 2, 1)
+        runs[others] = per_chunk
+        first = np.cumsum(runs) - runs
+        run_start, run_count = np.empty(int(runs.sum()), dtype=np.int64), np.ones(int(runs.sum()), dtype=np.int64)
+        run_start[first[plain]], run_count[first[plain]] = at[:n_plain], kept[:n_plain]
+        run_start[first[marked] + 1] = final + marks[marked]
+        spread = flatten(per_chunk, first[others])
+        run_start[spread], run_count[spread] = from_ids[flat], counts[flat]
+        ends = np.concatenate([[0], np.cumsum(run_count)])
+        return pool[flatten(run_count, run_start)], np.diff(ends[np.concatenate([[0], np.cumsum(runs)])])
 
     def encode_arrow(self, column: pa.Array) -> Encoded:
         """Encodes the whole texts of an Arrow column; null counts as empty.
@@ -265,8 +365,7 @@ class WordBpe:
             old[hit] = True
             begin[hit], count[hit] = self.known_start[at[hit]], self.known_count[at[hit]]
         fresh = np.flatnonzero(~old)
-        raw = data.tobytes()
-        new_ids, new_count = self._encode_chunks([raw[a : a + n].decode(errors="replace") for a, n in zip(starts[first[fresh]].tolist(), lengths[first[fresh]].tolist(), strict=True)])
+        new_ids, new_count = self._encode_chunks(data, starts[first[fresh]], lengths[first[fresh]])
         begin[fresh], count[fresh] = len(self.known_ids) + np.cumsum(new_count) - new_count, new_count
         pool = np.concatenate([self.known_ids, new_ids])
         ids = pool[flatten(count[codes], begin[codes])]
@@ -306,6 +405,26 @@ class WordBpe:
         return b" ".join([self.token_bytes[i] for i in ids]).decode()
 
 
+def first_slots(keys: np.ndarray, slots: int) -> np.ndarray:
+    """Where the search for each key begins in a table of so many slots, a power of two."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def pair_slots(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their values in a table four times as large or more, each at its first slot or the next free one; -1 where there is none."""
+    slots = 1 << max(8, int(4 * len(keys)).bit_length())
+    held, told = np.full(slots, -1, dtype=np.int64), np.zeros(slots, dtype=np.int64)
+    left, at = np.arange(len(keys)), first_slots(keys, slots)
+    while len(left):
+        free = left[held[at[left]] < 0]
+        held[at[free]] = keys[free]  # of several keys one stays
+        stays = free[held[at[free]] == keys[free]]
+        told[at[stays]] = values[stays]
+        left = left[held[at[left]] != keys[left]]
+        at[left] = (at[left] + 1) & (slots - 1)
+    return held, told
+
+
 def tabulated(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The sum over a chunk's first bytes of what TABLE says for each place and byte; long chunks are summed in part."""
     size = np.minimum(lengths, TABULATED).astype(np.uint8)

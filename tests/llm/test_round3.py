@@ -333,3 +333,23 @@ def test_hashes_of_chunks_are_sums_of_the_table():
     starts, lengths, hashes, per_text = word_bpe.split_chunks(data, np.array([0, len(data)]), step=4)
     assert [data[s : s + n].tobytes() for s, n in zip(starts, lengths)] == cases and per_text.tolist() == [len(cases)]
     assert hashes.tolist() == [sum(int(word_bpe.TABLE[k * 256 + b]) for k, b in enumerate(c)) % 2**64 for c in cases]
+
+
+def test_plain_words_are_encoded_without_a_call_each(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, bpe, seen = Tokenizer.from_file(WORD), word_bpe.WordBpe(WORD), []
+    split = word_bpe.WordBpe._split
+    monkeypatch.setattr(word_bpe.WordBpe, "_split", lambda self, chunk: (seen.append(chunk), split(self, chunk))[1])
+
+    def same(cases):
+        e = bpe.encode_batch(cases)
+        assert [e.of(i).tolist() for i in range(len(cases))] == [library.encode(t, add_special_tokens=False).ids for t in cases]
+
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if chr(c) not in "×÷"]
+    same([" ".join(f"{c}{mark} b{c}{mark} {c}{d}" for c in letters for d in "zÉß" for mark in ("", ".", ","))] + ["x" * n for n in range(1, 80)])
+    assert not seen
+    rnd = random.Random(11)
+    signs = [*"abcQXYZÀÉßÿñ×÷.,.,'!2", "é", "Σ", "ı", "İ", "中", "́", "Ã", "¾", "<|endoftext|>", "\x00", "　"]
+    same(["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 70))) for _ in range(4000)] + [".", ",", "..", "a..", "a.,", ".a", "É", "É.", "×.", "é."])
+    assert seen
