@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -57,10 +58,14 @@ def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def trim_relative(edges: DataFrame, share: float = 0.02) -> DataFrame:
-    """Drops, with its other strand, each edge below a share of the counts that leave its source, where several leave."""
+    """Drops, with its other strand, each edge below a share of the counts that leave its source, where several leave.
+
+    The share is taken as the decimal number it is written as, so a count that equals it stays.
+    """
     leaving = Window.partitionBy("src")
     held = with_nodes(edges).withColumn("total", F.sum("count").over(leaving)).withColumn("n", F.count("*").over(leaving))
-    return without(edges, held.where((F.col("n") > 1) & (F.col("count") < share * F.col("total"))))
+    least = F.lit(Decimal(repr(share))) * F.col("total").cast("decimal(19,0)")
+    return without(edges, held.where((F.col("n") > 1) & (F.col("count").cast("decimal(19,0)") < least)))
 
 
 def lint(edges: DataFrame) -> DataFrame:
