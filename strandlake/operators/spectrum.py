@@ -6,10 +6,12 @@ import math
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.seq import canonical, kmers, log_binomial_at_least
+from strandlake.functions import packed
+from strandlake.functions.seq import canonical, dna_of_text, kmers, log_binomial_at_least
 from strandlake.sources.staging import free, staged
 
 
@@ -32,8 +34,11 @@ def per_read(reads: DataFrame, k: int = 8, key: str = "read_id", seq: str = "seq
     return kmers(reads, k, seq, keep=(key,)).select(key, canonical("kmer").alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
 
 
-def incidence(reads: DataFrame, k: int, sample: str = "sample", seq: str = "seq") -> DataFrame:
+def incidence(reads: DataFrame, k: int, sample: str = "sample", seq: str = "seq", letters: np.ndarray = packed.CODES) -> DataFrame:
     """sample, kmer, each once."""
+    if k <= 31:
+        return packed.unpacked(packed.sample_sets(reads.withColumnRenamed(sample, "sample"), k, "sample", seq, letters), k)
+    reads = reads if letters is packed.CODES else reads.withColumn(seq, dna_of_text(seq))
     return kmers(reads, k, seq, keep=(sample,)).select(F.col(sample).alias("sample"), canonical("kmer").alias("kmer")).distinct()
 
 
@@ -48,6 +53,7 @@ def _shared(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     K-mers with the same set of samples are one row with a weight; sample sets are small next to k-mers.
     """
+    samples = staged(samples, "samples")
     sizes = samples.groupBy("sample").agg(F.count("*").alias("size"))
     sets = samples.groupBy("kmer").agg(F.sort_array(F.collect_set("sample")).alias("s")).groupBy("s").agg(F.count("*").alias("w"))
     both = sets.select("w", "s", F.explode("s").alias("i")).select("w", "i", F.explode("s").alias("j")).where("i < j")

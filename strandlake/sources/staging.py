@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def mapped_path(spark: SparkSession, name: str) -> str | None:
+    """A fresh path below the shared folder as tasks can open and map it; None where that folder is in another store."""
+    path = new_path(spark, name)
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    return None if ":/" in path else os.path.abspath(path)
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """Queries that run inside leave no shuffle files behind: what they return is in a table or at the driver."""

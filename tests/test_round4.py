@@ -28,6 +28,33 @@ def windows_in_plan(df):
     return "Generate explode(transform" in plan
 
 
+def test_masks_of_codes_equal_those_of_strings(spark, monkeypatch):
+    (reads, letters), (left, left_letters), (right, right_letters) = (both(table(spark, texts(n, 30, seed))) for n, seed in ((40, 1), (5, 1), (6, 2)))
+    k = 11
+    index = classify.two_genome_index(kmerset.build(left, k), kmerset.build(right, k), k)
+    codes = classify.two_genome_codes(*(packed.distinct(x, k, table=packed.LETTERS) for x in (left_letters, right_letters)), k)
+    assert sorted(map(tuple, packed.unpacked(codes.select("in_lhs", "in_rhs", "code"), k).select("kmer", "in_lhs", "in_rhs").collect())) == sorted(map(tuple, index.collect()))
+    found = classify.hits(reads, index, k).groupBy("read_id").agg(F.bit_or(F.expr("shiftleft(1, 2 * cast(in_lhs as int) + cast(in_rhs as int))")).alias("m"))
+    want = {r.read_id: 0 for r in reads.collect()} | {r.read_id: r.m for r in found.collect()}
+    assert len(set(want.values())) > 2
+    for few in (1 << 20, 10):  # sent to every task, mapped from files
+        monkeypatch.setattr(packed, "FEW", few)
+        held = classify.read_masks(letters, codes, k, letters=packed.LETTERS)
+        assert {r.read_id: r.mask for r in held.collect()} == want
+        assert not windows_in_plan(held)  # windows don't become rows
+        assert {r.read_id: r.mask for r in classify.read_masks(reads, index, k).collect()} == want
+
+
+def test_matching_looks_up_packed_kmers(spark):
+    reads, letters = both(table(spark, texts(30, 30, 5)))
+    told, _ = both(table(spark, texts(2, 12, 5)))
+    for k in (25, 12, 31, 33):
+        held = kmerset.build(told, k)
+        want = {r.read_id for r in classify.hits(reads, held, k).collect()}
+        got = classify.matching(letters, held, k, letters=packed.LETTERS)
+        assert {r.read_id for r in got.collect()} == want and windows_in_plan(got) == (k > 31)
+
+
 def test_trim_relative_keeps_a_count_that_equals_the_share(spark):
     edges = spark.createDataFrame([("ACC", 51), ("ACG", 99), ("GGT", 51), ("CGT", 99)], "edge string, count long")
     assert 0.34 * 150 > 51  # as floating-point numbers; 0.34 times 150 is 51
