@@ -99,9 +99,11 @@ def _slices(column: pa.Array, k: int, table: np.ndarray = CODES) -> Iterator[tup
         yield codes.astype(np.int64), n, own
 
 
-def counts(reads: DataFrame, k: int, seq: str = "seq", table: np.ndarray = CODES) -> DataFrame:
+def counts(reads: DataFrame, k: int, seq: str = "seq", table: np.ndarray = CODES, more: tuple[tuple[DataFrame, int], ...] = ()) -> DataFrame:
     """code, n, own: how often each canonical k-mer occurs, and whether it is its own other strand. Any other character breaks a window.
 
+    more: other reads, each with the number of times that they are there.
+
     Every slice of a task is counted before rows leave Python, so a frequent k-mer is one row a slice; null,
     empty and short sequences give no rows. k: 1 to 31.
     """
@@ -114,6 +116,8 @@ def counts(reads: DataFrame, k: int, seq: str = "seq", table: np.ndarray = CODES
                 yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64)), pa.array(own)], ["code", "n", "own"])
 
     part = reads.select(seq).mapInArrow(counted, "code long, n long, own boolean")
+    for others, times in more:
+        part = part.unionByName(others.select(seq).mapInArrow(counted, "code long, n long, own boolean").withColumn("n", F.col("n") * times))
     return part.groupBy("code").agg(F.sum("n").alias("n"), F.first("own").alias("own"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions import packed
 from strandlake.functions.seq import canonical, kmers, reverse_complement
+from strandlake.operators import fragments
 from strandlake.operators.components import tied
-from strandlake.operators.graph import degrees, with_nodes
+from strandlake.operators.graph import degrees, stored, with_nodes
 from strandlake.sources.staging import free, staged
 
 
@@ -19,9 +21,34 @@ def previous_edges(edges: DataFrame) -> DataFrame:
     return held.join(into, held["src"] == into["node"], "left").select("edge", "count", "prev")
 
 
+def edge_size(edges: DataFrame) -> int:
+    """Bases of an edge, 0 without edges."""
+    if getattr(edges, "codes", None) is not None:
+        return edges.size
+    row = edges.select(F.length("edge").alias("n")).first()
+    return row.n if row else 0
+
+
 def positions(edges: DataFrame) -> DataFrame:
     """edge, count, head, pos: the segment's first edge and the place in it from 0.
 
+    Edges of up to 31 bases are put together packed, see fragments.py; the result has then the ``pieces`` it is made of
+    as an attribute, and says in ``mirrored`` whether both strands of each edge are sure to be there.
+    """
+    size = edge_size(edges)
+    if not 2 <= size <= 31:
+        return positions_by_edges(edges)
+    if not getattr(edges, "staged_at", None):
+        edges = stored(edges)
+    held = fragments.pieces(edges, size, positions_by_edges)
+    out = fragments.exploded(held, size)
+    out.pieces, out.size, out.mirrored = held, size, getattr(edges, "codes", None) is not None
+    return out
+
+
+def positions_by_edges(edges: DataFrame) -> DataFrame:
+    """The same, edge by edge.
+
     Pointer doubling: after round r an edge knows its 2**r-th predecessor, so rounds number the
     logarithm of the longest path; each is one equi-join. A pure cycle begins with its edge that is least
     on both strands; the other strand's cycle ends with that edge's reverse complement.
@@ -63,6 +90,8 @@ PIECE = 4096
 def segments(edges: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """head, last, length (edges), mean_count (rounded), min_count, first_count, last_count, total, seq of each unbranched path."""
     placed = positions(edges) if placed is None else placed
+    if getattr(placed, "pieces", None) is not None:
+        return _segments(placed)
     at = F.col("pos") - F.col("piece") * PIECE
     pieces = placed.withColumn("piece", F.expr(f"pos div {PIECE}")).groupBy("head", "piece").agg(
         F.count("*").alias("length"), F.sum("count").alias("total"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"), F.min("count").alias("min_count"), F.max("count").alias("max_count"),
@@ -81,6 +110,30 @@ def segments(edges: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     return grouped.select("head", "last", "length", F.round(mean).cast("long").alias("mean_count"), "min_count", "max_count", spread.alias("sd_count"), "first_count", "last_count", "total", seq.alias("seq"))
 
 
+def _segments(placed: DataFrame) -> DataFrame:
+    """The same of pieces, which are dealt once by path and joined in two steps."""
+    blocks = placed.pieces.repartition("head").groupBy("head", F.expr(f"at div {16 * PIECE}").alias("block")).agg(
+        *(F.sum(c).alias(c) for c in ("length", "total", "squares")), F.min("low").alias("low"), F.max("high").alias("high"), F.max_by("last", "at").alias("last"),
+        F.min_by("first_count", "at").alias("first_count"), F.max_by("last_count", "at").alias("last_count"), F.array_sort(F.collect_list(F.struct("at", "bases"))).alias("bases"),
+    )
+    blocks = blocks.withColumn("bases", F.array_join(F.transform("bases", lambda b: b["bases"]), ""))
+    grouped = blocks.groupBy("head").agg(
+        *(F.sum(c).alias(c) for c in ("length", "total", "squares")), F.min("low").alias("min_count"), F.max("high").alias("max_count"), F.max_by("last", "block").alias("last"),
+        F.min_by("first_count", "block").alias("first_count"), F.max_by("last_count", "block").alias("last_count"), F.array_sort(F.collect_list(F.struct("block", "bases"))).alias("bases"),
+    )
+    mean = F.col("total") / F.col("length")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("length") - mean * mean))
+    seq = F.concat(F.expr("left(head, length(head) - 1)"), F.array_join(F.transform("bases", lambda b: b["bases"]), ""))
+    held = grouped.withColumn("head", packed.unpack("head", placed.size)).withColumn("last", packed.unpack("last", placed.size))
+    return held.select("head", "last", "length", F.round(mean).cast("long").alias("mean_count"), "min_count", "max_count", spread.alias("sd_count"), "first_count", "last_count", "total", seq.alias("seq"))
+
+
+def segment_ends(segs: DataFrame, s: str = "s", t: str = "t") -> DataFrame:
+    """node, n_in, n_out of the nodes where segments begin and end: no edge but their first and last ones touches these."""
+    ends = segs.select(F.col(s).alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(segs.select(F.col(t).alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+
+
 def entry_edges(segs: DataFrame) -> DataFrame:
     """seg_id, edge, length, mean_count, rc_seg_id: ids are ranks of first edges; the other strand's path begins with the reverse complement of the last edge."""
     ranked = segs.select("head", "last", "length", "mean_count")
@@ -104,10 +157,10 @@ def contigs(edges: DataFrame, k: int, min_length: int = 0, min_coverage: int = 0
     Where a path ends at a shared node, only the strand on which that node is canonical keeps its k bases,
     unless linear_segments asks for whole segments.
     """
-    segs = staged(segments(edges), "contigs")
-    ends = degrees(edges)
+    segs = staged(segments(edges).withColumn("s", F.expr(f"left(head, {k})")).withColumn("t", F.expr(f"right(last, {k})")), "contigs")
+    ends = segment_ends(segs)
     first, last = ends.select(F.col("node").alias("s"), F.col("n_in").alias("s_in")), ends.select(F.col("node").alias("t"), F.col("n_out").alias("t_out"))
-    held = segs.withColumn("s", F.expr(f"left(head, {k})")).withColumn("t", F.expr(f"right(last, {k})")).join(first, "s").join(last, "t")
+    held = segs.join(first, "s").join(last, "t")
     if not both_strands:
         held = held.where(F.col("head") <= reverse_complement("last"))
     if not linear_segments:
@@ -129,6 +182,20 @@ def components(edges: DataFrame, reads: DataFrame | None = None, k: int | None =
     return nodes.join(tied(held).select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """component_stats() of components(edges). Paths are tied by their ends, so nodes within are not dealt."""
+    placed = positions(edges)
+    if getattr(placed, "pieces", None) is None:
+        return component_stats(edges, components(edges))
+    sums = (*(F.sum(c).alias(c) for c in ("length", "total", "squares")), F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"))
+    paths = placed.pieces.groupBy("head").agg(*sums, F.max_by("last", "at").alias("last"))
+    paths = staged(paths.withColumn("s", F.shiftright("head", 2)).withColumn("t", F.col("last").bitwiseAND(F.lit(4 ** (placed.size - 1) - 1))), "paths")
+    held = paths.join(tied(paths.select(F.col("s").alias("a"), F.col("t").alias("b"))).select(F.col("a").alias("s"), "b"), "s", "left").groupBy(F.coalesce("b", "s").alias("root")).agg(*sums)
+    mean = F.col("total") / F.col("length")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("length") - mean * mean))
+    return held.select(packed.unpack("least", placed.size - 1).alias("component"), F.col("length").alias("size"), F.col("low").alias("min_count"), F.col("high").alias("max_count"), mean.alias("mean_count"), spread.alias("sd_count"))
+
+
 def component_stats(edges: DataFrame, labelled: DataFrame) -> DataFrame:
     """component, size (edges), min_count, max_count, mean_count, sd_count."""
     held = with_nodes(edges).join(labelled, F.col("src") == F.col("node"))

@@ -5,21 +5,51 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import packed
 from strandlake.functions.seq import canonical, kmers, reverse_complement, source_node, target_node
 from strandlake.sources.staging import staged
 
 
 def build(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """Counts of all (k+1)-mers of both strands. Canonical edges are counted once and mirrored, so half is shuffled; palindromes count twice."""
+    if k + 1 <= 31:
+        return from_codes(packed.counts(reads, k + 1, seq), k + 1)
     one = kmers(reads, k + 1, seq).select(canonical("kmer").alias("edge")).groupBy("edge").agg(F.count("*").alias("n"))
     other = reverse_complement("edge")
     strands = F.when(F.col("edge") == other, F.array(F.struct("edge", (2 * F.col("n")).alias("count")))).otherwise(F.array(F.struct("edge", F.col("n").alias("count")), F.struct(other.alias("edge"), F.col("n").alias("count"))))
     return one.select(F.explode(strands).alias("s")).select("s.edge", "s.count")
 
 
+def from_codes(codes: DataFrame, size: int) -> DataFrame:
+    """The graph of packed canonical edges of size bases (code, n, own): it has ``codes`` and ``size`` as attributes, from which operators may read it."""
+
+    def strands(batches):
+        for batch in batches:
+            code, n, own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            code, n = np.concatenate((code, packed.other_strand(code[~own], size))), np.concatenate((np.where(own, 2 * n, n), n[~own]))
+            yield pa.RecordBatch.from_arrays([packed.letters_of(code, size), pa.array(n)], ["edge", "count"])
+
+    # Spark's estimate of its size is too low by far, so no join may send it to every task for that
+    held = codes.select("code", "n", "own").mapInArrow(strands, "edge string, count long").hint("merge")
+    held.codes, held.size = codes, size
+    return held
+
+
+def stored(edges: DataFrame, name: str = "graph") -> DataFrame:
+    """edges, written once; packed where they are packed."""
+    if getattr(edges, "codes", None) is None:
+        return staged(edges, name)
+    codes = staged(edges.codes, name)
+    held = from_codes(codes, edges.size)
+    held.staged_at = codes.staged_at
+    return held
+
+
 def merge(*graphs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, graphs).groupBy("edge").agg(F.sum("count").alias("count"))
 
@@ -48,6 +78,8 @@ def trim(edges: DataFrame, cutoff: int | None = None, scale_by_k: float | None =
         cutoff = infer_cutoff([(r.multiplicity, r.n) for r in histogram(edges).collect()]) or 1
     if scale_by_k and k:
         cutoff = cutoff * scale_by_k / k
+    if getattr(edges, "codes", None) is not None:
+        return from_codes(edges.codes.where(F.col("n") * F.when(F.col("own"), 2).otherwise(1) > cutoff), edges.size)
     return edges.where(F.col("count") > cutoff)
 
 
@@ -70,7 +102,8 @@ def trim_relative(edges: DataFrame, share: float = 0.02) -> DataFrame:
 
 def lint(edges: DataFrame) -> DataFrame:
     """edge, problem: edges whose other strand is absent or has another count."""
-    other = edges.select(reverse_complement("edge").alias("edge"), F.col("count").alias("other"))
+    # Spark's estimate is of what the edges are made of: too little for either side to be sent to every task by it
+    other = edges.select(reverse_complement("edge").alias("edge"), F.col("count").alias("other")).hint("merge")
     problem = F.when(F.col("other").isNull(), "no reverse complement").when(F.col("other") != F.col("count"), "counts differ")
     return edges.join(other, "edge", "left").select("edge", problem.alias("problem")).where("problem is not null")
 
