@@ -18,7 +18,7 @@ from strandlake.functions import packed
 from strandlake.sources.staging import free, staged
 
 #: Bases of a minimiser at most, edges of a partition and of a message on average.
-MINIMISER, EDGES, MESSAGE = 7, 1 << 20, 1 << 20
+MINIMISER, EDGES, MESSAGE = 7, 1 << 19, 1 << 19
 
 FRAGMENT = "id long, first long, skip int, loop boolean, bases string, counts array<long>"
 MEASURED = "head long, at long, last long, length long, total long, squares double, low long, high long, first_count long, last_count long, least long, bases string"
@@ -65,16 +65,17 @@ def _joined(codes: np.ndarray, counts: np.ndarray, flags: np.ndarray, size: int)
     mask = 4 ** (size - 1) - 1
     sides = []
     for rows, node in ((np.flatnonzero(flags & 1), codes >> 2), (np.flatnonzero(flags & 2), codes & mask)):
-        node = node[rows]
-        order = np.argsort(node, kind="stable")
+        node, rows = node[rows], rows.astype(np.int32)
+        order = np.argsort(node, kind="stable").astype(np.int32)
         node = node[order]
         change = np.concatenate(([True], node[1:] != node[:-1], [True]))
         single = change[1:] & change[:-1]
         sides.append((node[single], rows[order[single]]))
     _, leaving, entering = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
-    jump = np.full(len(codes), -1)
+    jump = np.full(len(codes), -1, np.int32)
     jump[sides[0][1][leaving]] = sides[1][1][entering]
-    rank, root = (jump >= 0).astype(np.int64), np.where(jump >= 0, jump, np.arange(len(codes)))
+    del sides, node, order, change, single, leaving, entering
+    rank, root = (jump >= 0).astype(np.int32), np.where(jump >= 0, jump, np.arange(len(codes), dtype=np.int32))
     active, before = np.flatnonzero(jump >= 0), -1
     while len(active) and len(active) != before:
         before, ahead = len(active), jump[active]
@@ -113,7 +114,7 @@ def fragments(edges: DataFrame, size: int) -> DataFrame:
     codes = getattr(edges, "codes", None)
     rows = edges.count() if codes is None else 2 * codes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // EDGES)
-    places, strings = 8 * parts, codes is None
+    places, strings = 4 * parts, codes is None
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
